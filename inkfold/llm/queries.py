@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import chat, langid, secrets, spm, winnow
+from inkfold.llm import chat, langid, minhash, secrets, spm, winnow
 from inkfold.llm.common import table
 
 
@@ -22,6 +22,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, num=80, den=100)
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s.base)
@@ -74,6 +79,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
@@ -84,6 +90,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE: dict[str, str] = {
+    "op1_minhash_dedup": rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + least(len(w), 2) - 1), ' ') AS g
+  FROM d, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS t(p) WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), r AS (
+  SELECT s.doc_id, s.g, n.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY f.f, s.g) AS k
+  FROM s JOIN n USING (doc_id) JOIN (SELECT g, count(*) AS f FROM s GROUP BY g) f USING (g)
+), rare AS (SELECT * FROM r WHERE k <= n - (80 * n + 99) // 100 + 1
+), cand AS (SELECT DISTINCT a.doc_id AS u, b.doc_id AS v FROM rare a JOIN rare b ON a.g = b.g AND a.doc_id < b.doc_id
+  WHERE 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+), common AS (SELECT u, v, count(*) AS i FROM cand JOIN s a ON a.doc_id = u JOIN s b ON b.doc_id = v AND a.g = b.g GROUP BY u, v
+), e AS (SELECT u, v FROM common JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * i >= 80 * (a.n + b.n - i)
+), x AS (SELECT u, v FROM e UNION SELECT v, u FROM e
+), c(u, m) AS (SELECT doc_id, doc_id FROM d UNION SELECT x.v, c.m FROM c JOIN x ON x.u = c.u AND c.m < x.v
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, min(c.m)) AS component_id, d.doc_id = least(d.doc_id, min(c.m)) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.u = d.doc_id GROUP BY d.doc_id, n.n""",
     "op7_decontamination": rf"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents WHERE doc_id IS NOT NULL
