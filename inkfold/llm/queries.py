@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import chat, langid, minhash, secrets, spm, winnow
+from inkfold.llm import chat, langid, minhash, pq, secrets, spm, winnow
 from inkfold.llm.common import table
 
 
@@ -40,6 +40,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pq.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -81,6 +86,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op5_secret_scan": op5_secret_scan,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
     "op9_chat_format": op9_chat_format,
@@ -110,6 +116,20 @@ WITH RECURSIVE d AS (
 )
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, min(c.m)) AS component_id, d.doc_id = least(d.doc_id, min(c.m)) AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.u = d.doc_id GROUP BY d.doc_id, n.n""",
+    "op6_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL
+), g AS (
+  SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE a.norm > 0 AND b.norm > 0 AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.93
+), n AS (SELECT u, count(*) AS n FROM x GROUP BY u
+), c(u, m) AS (SELECT vec_id, vec_id FROM v UNION SELECT x.v, c.m FROM c JOIN x ON x.u = c.u AND c.m < x.v
+)
+SELECT v.vec_id, coalesce(max(n.n), 0) AS n_links, least(v.vec_id, min(c.m)) AS component_id, v.vec_id = least(v.vec_id, min(c.m)) AS kept
+FROM v LEFT JOIN n ON n.u = v.vec_id LEFT JOIN c ON c.u = v.vec_id GROUP BY v.vec_id""",
     "op7_decontamination": rf"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents WHERE doc_id IS NOT NULL
