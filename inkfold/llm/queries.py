@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import chat, langid, minhash, pq, secrets, spm, winnow
+from inkfold.llm import chat, langid, lm, minhash, pq, secrets, spm, winnow
 from inkfold.llm.common import table
 
 
@@ -27,6 +27,14 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    # One training document in seven tunes the weights.
+    out = lm.score(table(spark, sf_dir, "documents"), "doc_id", "text", crc % 7 != 2, F.floor(crc / 7) % 7 == 0)
+    held = (F.crc32(F.col("id").cast("string")) % 7 == 2).alias("held_out")
+    return out.select(F.col("id").alias("doc_id"), held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s.base)
@@ -85,6 +93,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_lm_score": op2_lm_score,
     "op5_secret_scan": op5_secret_scan,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_decontamination": op7_decontamination,
