@@ -11,6 +11,7 @@ Conventions of every operator here
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -76,3 +77,9 @@ def keyed(df: DataFrame, id_col: str, text_col: str | None, *, null_text: str |
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of plans that are done with."""
+    gc.collect()
+    spark._jvm.System.gc()

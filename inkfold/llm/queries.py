@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import chat, langid, lm, minhash, pq, secrets, spm, winnow
+from inkfold.llm import chat, langid, lm, minhash, pq, secrets, spm, suffix, winnow
 from inkfold.llm.common import table
 
 
@@ -35,6 +35,11 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.remove_repeats(table(spark, sf_dir, "documents"), window=50)
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s.base)
@@ -94,6 +99,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_lm_score": op2_lm_score,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_decontamination": op7_decontamination,
