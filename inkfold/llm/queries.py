@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import chat, langid, lm, minhash, pq, secrets, spm, suffix, winnow
+from inkfold.llm import chat, langid, lm, minhash, pq, repair, secrets, spm, suffix, winnow
 from inkfold.llm.common import table
 
 
@@ -40,6 +40,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = repair.write(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return repair.read(shards).select(F.col("id").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s.base)
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_lm_score": op2_lm_score,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_token_shards": op4_token_shards,
     "op5_secret_scan": op5_secret_scan,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_decontamination": op7_decontamination,
