@@ -8,11 +8,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkfold.llm import secrets, spm
-from inkfold.llm.common import shared_dir, table
+from inkfold.llm import langid, minhash, secrets, spm, winnow
+from inkfold.llm.common import keyed, shared_dir, table
 from inkfold.llm.queries import tokenizer_file
 
 
+#: A document whose best language is less likely than this is rejected.
+LEAST_LANGUAGE_SCORE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, and those in no language that the labels know, go."""
+    model = langid.train(docs, key=F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text")))
+    judged = langid.identify(docs, model, lang_col="_lang", score_col="_score")
+    return judged.where((F.col("_lang") != langid.UNDETERMINED) & (F.col("_score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group of near duplicates stays, once."""
+    groups = minhash.near_duplicates(docs)
+    kept = groups.where("id = component").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    met = winnow.hits(keyed(docs, "doc_id", "text"), keyed(table(spark, sf_dir, "benchmark"), "item_id", "text"))
+    return docs.join(met.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret that the scan finds is cut out of the text; no document goes."""
     return secrets.redacted(docs)
@@ -26,6 +50,9 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
     ("secret_scan", secret_scan),
     ("sentencepiece", sentencepiece),
 ]
