@@ -155,7 +155,7 @@ def c22(spark, d):
     return table(spark, d, "part").select("p_partkey", F.when(t.contains("steel") | t.contains("tin"), "metal").when(t.contains("all"), "everyone").otherwise(t).alias("name"))
 
 
-@query("c23_phase_status", f"SELECT question, CASE WHEN count_if(error IS NULL) = count(*) THEN 'done' WHEN count_if(error IS NULL) > 0 THEN 'in progress' ELSE 'pending' END AS status FROM {RECORDS_SQL} GROUP BY question")
+@query("c23_phase_status", f"SELECT question, CASE WHEN count(nullif(error IS NULL, FALSE)) = count(*) THEN 'done' WHEN count(nullif(error IS NULL, FALSE)) > 0 THEN 'in progress' ELSE 'pending' END AS status FROM {RECORDS_SQL} GROUP BY question")
 def c23(spark, d):
     ok = F.count_if(F.col("error").isNull())
     return records(spark, d).groupBy("question").agg(F.when(ok == F.count("*"), "done").when(ok > 0, "in progress").otherwise("pending").alias("status"))

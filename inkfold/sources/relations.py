@@ -56,8 +56,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("confidence"),
         F.col("props").alias("payload"),
         F.col("event_id").alias("ordinal"),
-        F.col("ts").alias("at"),
+        F.col("ts").alias("made_at"),
     )
 
 
-RECORDS_SQL = "(SELECT user_id AS unit, event_type AS question, CASE WHEN event_type = 'error' THEN 'failed' END AS error, value AS confidence, props AS payload, event_id AS ordinal, ts AS at FROM events)"
+RECORDS_SQL = "(SELECT user_id AS unit, event_type AS question, CASE WHEN event_type = 'error' THEN 'failed' END AS error, value AS confidence, props AS payload, event_id AS ordinal, ts AS made_at FROM events)"
