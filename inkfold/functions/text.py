@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Word characters of every script, for both regex engines that matter here.
 WORD = r"[\p{L}\p{N}_]"
@@ -60,3 +62,9 @@ def slug(text: Column, most: int = 40) -> Column:
 def json_in_answer(text: Column) -> Column:
     """The outermost braces of an answer, inside or outside a code fence."""
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+@F.pandas_udf(StringType())
+def ascii_folded(s: pd.Series) -> pd.Series:
+    """Compatibility decomposition without what is not ASCII; JVM functions have no such form."""
+    return s.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")

@@ -51,3 +51,22 @@ def replace_partitions(df: DataFrame, path: str, by: str) -> None:
 
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
+
+
+def read_yaml(spark: SparkSession, text: str) -> DataFrame:
+    """A small configuration ``{class: [pattern, ...]}`` as ``class, pattern`` rows."""
+    import yaml
+
+    entries = yaml.safe_load(text) or {}
+    rows = [(k, p) for k, v in entries.items() if isinstance(v, list) for p in v]
+    return spark.createDataFrame(rows, "class string, pattern string")
+
+
+def to_yaml(df: DataFrame) -> str:
+    """``class, pattern`` rows as YAML text; for configuration-sized tables only."""
+    import yaml
+
+    out: dict[str, list[str]] = {}
+    for r in df.orderBy("class", "pattern").collect():
+        out.setdefault(r["class"], []).append(r["pattern"])
+    return yaml.safe_dump(out, allow_unicode=True)
