@@ -281,6 +281,8 @@ def score(df: DataFrame, id_col: str, text_col: str, trained: Column, tuning: Co
     tune = packed.where("tuning").select("block", "sizes", "vocabulary", "tokens")
     held = tune.groupBy("block").cogroup(replies.where("early IS NOT NULL").select("block", "shard", "early").groupBy("block")).applyInArrow(histogram, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     mixture = weights(held["cell"].to_numpy(np.int64), held["n"].to_numpy(float), 1.0 / (v_early + 1), order)
+    if not N:  # there is nothing to estimate from
+        mixture[:] = [1.0] + [0.0] * order
 
     def final(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["id", "n_tokens", "n_known", "base_score", "score"]
