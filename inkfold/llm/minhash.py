@@ -8,11 +8,11 @@
    pairs: first every member meets the bucket's smallest id.
 3. Pairs whose signatures agree well enough are confirmed on their full sets.
    Confirmed pairs are links; large-star and small-star join them to components.
-4. Only pairs in different components still matter.  In each bucket that holds
-   more than one component, the members outside its largest component meet the
-   members of other components: a few of them in each round while rounds still
-   join components, then all of them.  So no link between components is lost,
-   and one large group of copies costs a few rounds, not the square of its size.
+4. Only pairs in different components still matter.  The members of a bucket
+   outside its largest component meet the members of that component, and one
+   another, in blocks of bounded size.  A task keeps its own components and skips
+   what its links have joined, most similar signatures first, so it returns a
+   forest and never the pairs of a group.
 
 With 32 bands of 4 rows a pair of similarity 0.8 shares no band with probability
 5e-8; the signature test drops one with probability below 1e-9.
@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import drop, keyed, written
+from inkfold.llm.common import drop, keyed, release, written
 from inkfold.llm.components import components
 
 #: Bytes of text whose words are in memory at a time.
@@ -154,17 +154,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if den * min(len(x), len(y)) < num * max(len(x), len(y)):
-                    good.append(False)
-                    continue
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                good.append(den * both >= num * (len(x) + len(y) - both))
+            good = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den) for x, y in zip(b.column(2), b.column(3))]
             mask = pa.array(good, pa.bool_())
             yield pa.record_batch([b.column(0).filter(mask), b.column(1).filter(mask)], ["u", "v"])
 
@@ -173,12 +163,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     return pairs.join(right, "v").join(left, "u").select("u", "v", "x", "y").mapInArrow(run, "u bigint, v bigint")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, num: int = 80, den: int = 100, bands: int = 32, rows: int = 4, seed: int = 7, per_round: int = 2) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, num: int = 80, den: int = 100, bands: int = 32, rows: int = 4, seed: int = 7) -> DataFrame:
     """``id, n, component`` for each row: set size and smallest id reachable by links.
 
     A link is a pair with ``den * |intersection| >= num * |union|``.
     """
-    docs = keyed(df, id_col, text_col)
+    docs, spark = keyed(df, id_col, text_col), df.sparkSession
     # Different sets can only be linked when the larger has num / (den - num) + 1 items.
     smallest = -(-num // (den - num)) if num < den else 1 << 62
     signed = written(signatures(docs, shingle, bands, rows, smallest, seed), "minhash-signatures")
@@ -194,6 +184,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     met = members.select("id").distinct()
     sets = written(set_bytes(docs.join(met, "id", "left_semi").dropDuplicates(["id"]), shingle), "minhash-sets")
+    release(spark)
     sketches = reps.select("id", *(F.col("sketch")[k].alias(f"s{k}") for k in range(-(-bands * rows // 64))))
 
     def apart(a: str, b: str):
@@ -205,46 +196,87 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     label = components(edges, "minhash-components")
 
     # Buckets of two are settled; so is every bucket within one component.
-    crowded = members.where("size > 2").join(sketches, "id")
-    crowded = written(crowded, "minhash-crowded")
-    turn, joined = 0, True
-    while True:
-        turn += 1
-        placed = crowded.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        by_component = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        mixed = by_component.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("size"), F.count("*").alias("parts")).where("parts > 1")
-        mixed = mixed.select("bucket", F.col("most.component").alias("main"), (F.col("size") - F.col("most.n")).alias("outside"))
-        open_ = written(placed.join(mixed, "bucket"), "minhash-open")
-        rows_in, pairs_in = open_.agg(F.count("*"), F.coalesce(F.sum("outside"), F.lit(0))).head()
-        if not rows_in:
-            drop(open_)
-            break
-        last = not joined or pairs_in <= 4 * per_round * rows_in
-        own = open_.where("component <> main")
-        if not last:
-            own = own.where(F.pmod(F.xxhash64("id", F.lit(turn)), F.col("outside")) < per_round)
-        a, b = own.alias("a"), open_.alias("b")
-        different = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.id") != F.col("a.pivot")) & (F.col("b.id") != F.col("b.pivot")) & (apart("a", "b") <= far)
-        pairs = a.join(b, different).select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
-        more = written(_confirmed(pairs, sets, num, den), "minhash-links")
-        joined = not more.isEmpty()
-        if joined:
-            more = written(edges.unionByName(more), "minhash-links")
-            edges, label = more, components(more, "minhash-components")
-        drop(open_)
-        if last:
-            break
-    drop(sets, crowded, members, reps)
+    placed = members.where("size > 2").select("bucket", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    main = placed.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    open_ = written(placed.join(main, "bucket").select("main", "id", "component").distinct(), "minhash-open")
+    more = written(_across(open_, sets, shingle_family=(bands, rows, seed), num=num, den=den), "minhash-links")
+    release(spark)
+    # What they join are whole components.
+    joined = components(more, "minhash-joined").select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    label = label.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+    label = label.unionByName(joined.join(label.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("whole").alias("component")))
+    drop(sets, members, reps, open_, edges)
 
     placed = kinds.join(label, "id", "left").where("copies > 1 OR component IS NOT NULL").select("digest", F.coalesce("component", "id").alias("component"))
     return signed.select("id", "n", "digest").join(placed, "digest", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
 
 
-def _farthest(bits: int, similarity: float) -> int:
-    """Signature bits in which a pair of that similarity differs at most, but for 1 in 1e9."""
+#: Rows of a component, and ids outside it, that meet in one task.
+BLOCK = 1000
+
+
+def _across(open_: DataFrame, sets: DataFrame, shingle_family: tuple[int, int, int], num: int, den: int) -> DataFrame:
+    """Links ``u, v`` between components: those that hold, not one pair more than joins them.
+
+    ``open_`` has ``main, id, component``: the ids that share a bucket with
+    component ``main``, its own and others.  Every other id meets every id of the
+    same ``main``, in blocks of ``BLOCK`` by ``BLOCK``.  A task takes the most
+    similar signatures first and skips pairs that its links have joined already.
+    ``u`` and ``v`` are components.
+    """
+    bands, rows, seed = shingle_family
+    need = bands * rows - _farthest(bands * rows, num / den, 1)
+    size = open_.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.ceil(F.count_if(F.col("component") != F.col("main")) / BLOCK).cast("int").alias("turns"))
+    full = open_.join(size, "main").join(sets, "id")
+    part = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    held = full.select("main", part("parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "id", "component", "items", F.lit(False).alias("outside"))
+    asked = full.where("component <> main").select("main", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), part("turns").alias("turn"), "id", "component", "items", F.lit(True).alias("outside"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        flag = table.column("outside").to_numpy()
+        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items")]
+        ids, label = table.column("id").to_numpy(), table.column("component").to_numpy()
+        own, other = np.flatnonzero(flag), np.flatnonzero(~flag)
+        names, node = np.unique(label, return_inverse=True)
+        root, found = np.arange(len(names)), []
+        if len(own) and len(other):
+            sig = minima(items, hash_family(bands * rows, seed))
+            theirs = sig[other]
+            for i in own:
+                same = theirs == sig[i]
+                alike = same.sum(1)
+                good = (alike >= need) & same.reshape(len(other), bands, rows).all(2).any(1) & (root[node[other]] != root[node[i]])
+                for j in np.flatnonzero(good)[np.argsort(-alike[good], kind="stable")]:
+                    j = other[j]
+                    if root[node[j]] != root[node[i]] and linked(items[i], items[j], num, den):
+                        a, b = sorted((root[node[i]], root[node[j]]))
+                        root[root == b] = a
+                        found.append((names[node[i]], names[node[j]]))
+        u, v = zip(*found) if found else ([], [])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return held.unionByName(asked).groupBy("main", "part", "turn").applyInArrow(compare, "u bigint, v bigint")
+
+
+def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether den * |x and y| >= num * |x or y| for sorted distinct arrays that are not empty."""
+    if den * min(len(x), len(y)) < num * max(len(x), len(y)):
+        return False
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return den * both >= num * (len(x) + len(y) - both)
+
+
+def _farthest(bits: int, similarity: float, bits_each: int = 2) -> int:
+    """Minima (or their lowest bits) in which such a pair differs at most, but for 1 in 1e9.
+
+    Different minima differ in their lowest bit half of the time (``bits_each`` 2).
+    """
     from math import comb
 
-    p, tail, k = (1 - similarity) / 2, 1.0, 0
+    p, tail, k = (1 - similarity) / bits_each, 1.0, 0
     while tail > 1e-9:
         tail -= comb(bits, k) * p**k * (1 - p) ** (bits - k)
         k += 1
