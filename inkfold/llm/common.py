@@ -83,3 +83,17 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of plans that are done with."""
     gc.collect()
     spark._jvm.System.gc()
+
+
+def trim() -> None:
+    """Give freed memory of a Python worker back to the system: workers are kept and used again."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass

@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkfold.llm.common import trim
+
 UNDETERMINED = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 _HASH = [np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917)]
 #: Texts whose features are in memory at a time: about so many characters.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 
 
 def letters(text: str | None) -> str:
@@ -191,6 +193,7 @@ def document_frequencies(texts: DataFrame, bits: int) -> tuple[np.ndarray, int]:
             for part in blocks(cleaned):
                 df += np.bincount(features(cleaned[part], bits)[1], minlength=1 << bits)
         at = np.flatnonzero(df)
+        trim()
         yield pa.record_batch([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(df[at], n), pa.int64())], ["bin", "n"])
 
     sums = texts.select("text").mapInArrow(count, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
@@ -250,5 +253,6 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", lang_col: str
         for b in batches:
             langs, scores = shared.value.predict(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*(b.schema.names[i] for i in kept), lang_col, score_col])
+        trim()
 
     return df.mapInArrow(run, schema)

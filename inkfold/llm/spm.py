@@ -35,11 +35,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import keyed
+from inkfold.llm.common import keyed, trim
 
 MARK = "▁"
 #: Texts of one trie: about so many characters, a bound on a worker's memory.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 6_000_000
+#: Judgements of piece pairs that a worker remembers: about 100 bytes each.
+REMEMBERED = 300_000
 
 
 class Model:
@@ -76,7 +78,7 @@ class Model:
         self._stable: dict[str, bool] = {}
         self._halves: dict[str, tuple[str, str]] = {}
         self.pieces = {i: p for p, i in self.ids.items()}
-        self.fitting: dict[tuple[int, int], bool] = {}
+        self.fitting: dict[int, bool] = {}
         self._automaton()
 
     def _automaton(self) -> None:
@@ -188,13 +190,13 @@ class Model:
             known = self._stable[piece] = self.merge(piece) == [piece]
         return known
 
-    def judge(self, pair: tuple[int, int]) -> bool:
+    def judge(self, left: int, right: int) -> bool:
         """:meth:`fits` by ids and remembered; -1 on the left is nothing, or a character without a piece."""
-        if len(self.fitting) > 1_000_000:
+        if len(self.fitting) > REMEMBERED:
             self.fitting.clear()
-        right = self.pieces[pair[1]]
-        good = self.stable(right) and (pair[0] < 0 or self.fits(self.pieces[pair[0]], right))
-        self.fitting[pair] = good
+        piece = self.pieces[right]
+        good = self.stable(piece) and (left < 0 or self.fits(self.pieces[left], piece))
+        self.fitting[left << 32 | right] = good
         return good
 
     def piece_ids(self, piece: str) -> list[int]:
@@ -257,10 +259,10 @@ def encode_words(m: Model, words: list[str]) -> list[tuple[int, ...]]:
             if merges:
                 for piece, size in ending[at]:
                     k = i - size
-                    pair = (ends[k], piece) if k else (-1, piece)
-                    good = fitting.get(pair)
+                    left = ends[k] if k else -1
+                    good = fitting.get(left << 32 | piece)
                     if good is None:
-                        good = m.judge(pair)
+                        good = m.judge(left, piece)
                     if good:
                         ends.append(piece)
                         paths.append((*paths[k], piece))
@@ -348,6 +350,7 @@ def _encode(path: str):
                     ids, texts, size = [], [], 0
         if ids:
             yield block(ids, texts)
+        trim()
 
     return run
 
