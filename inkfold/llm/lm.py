@@ -34,10 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import written
+from inkfold.llm.common import trim, written
 from inkfold.llm.minhash import _MUL, mix, word_hashes
 
-BLOCK_TOKENS, SHARD_KEYS = 1_000_000, 3_000_000
+BLOCK_TOKENS, SHARD_KEYS = 1_000_000, 1_000_000
 #: Fixed hashes of the end token and of what stands before a text.
 END, BEGIN = np.uint64(0x454E44), np.uint64(0x424547)
 STEPS = 8  # histogram cells an octave
@@ -233,6 +233,7 @@ def score(df: DataFrame, id_col: str, text_col: str, trained: Column, tuning: Co
                     [pa.array(full, pa.int32()), pa.array([name] * len(full)), pa.array([tuning_] * len(full)), pa.array([_pack_keys(keys[s]) for s in full], pa.binary()), pa.array([_pack(n[s]) for s in full], pa.binary())],
                     ["shard", "block", "tuning", "keys", "n"],
                 )
+            trim()
 
     asked = packed.select("block", "tuning", "sizes", "trained", "vocabulary", "tokens").mapInArrow(ask, "shard int, block string, tuning boolean, keys binary, n binary")
 
@@ -249,15 +250,18 @@ def score(df: DataFrame, id_col: str, text_col: str, trained: Column, tuning: Co
                 early[at] += x
         begin = Block._tag(np.array([BEGIN]), 1)[0]
         words = ((flat & np.uint64(3)) == 1) & (flat != begin)
+        sums = [int(x) for n_ in (every, early) for x in (n_[words].sum(), (n_[words] > 0).sum())]
         rows = [(b.as_py(), _pack(every[at].astype(np.uint64)), _pack(early[at].astype(np.uint64)) if t else None) for b, at, t in zip(table.column("block"), parts, tuned)]
         shard = table.column("shard")[0].as_py()
+        del keys, n, flat, owner, parts, every, early
+        trim()
         return pa.table(
             {
                 "block": pa.array([r[0] for r in rows] + [None], pa.string()),
                 "shard": pa.array([shard] * (len(rows) + 1), pa.int32()),
                 "every": pa.array([r[1] for r in rows] + [None], pa.binary()),
                 "early": pa.array([r[2] for r in rows] + [None], pa.binary()),
-                "sums": pa.array([None] * len(rows) + [[int(every[words].sum()), int((every[words] > 0).sum()), int(early[words].sum()), int((early[words] > 0).sum())]], pa.list_(pa.int64())),
+                "sums": pa.array([None] * len(rows) + [sums], pa.list_(pa.int64())),
             }
         )
 
