@@ -31,6 +31,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkfold.llm.common import keyed, written
-from inkfold.llm.spm import gathered
 
 SHARD_IDS = 2_000_000
 #: Texts tokenized at a time: about so many characters.
@@ -59,41 +59,109 @@ def _tokenizer(path: str):
     return t
 
 
+class Pieces:
+    """Ids of the pieces met so far by this worker, end to end; at most ``most`` of them stay."""
+
+    def __init__(self, path: str, most: int = 600_000):
+        self.path, self.most = path, most
+        self._empty()
+
+    def _empty(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def add(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of the pieces; those that are new are encoded."""
+        new = [p for p in dict.fromkeys(pieces) if p not in self.number]
+        if len(self.number) + len(new) > self.most and len(new) < len(pieces):
+            self._empty()
+            new = list(dict.fromkeys(pieces))
+        # Pieces that begin with their space or line feed are encoded end to end:
+        # ids stand for bytes, so the bytes tell where each piece ends.
+        joined = [p for p in new if p[0] in " \n"]
+        new = joined + [p for p in new if p[0] not in " \n"]
+        flats, sizes = [self.flat], [self.size]
+        for k in range(0, len(joined), 50_000):
+            part = joined[k : k + 50_000]
+            ids = np.array(_tokenizer(self.path).encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.int32)
+            stop = np.searchsorted(np.cumsum(_token_bytes(self.path)[ids]), np.cumsum([len(p.encode()) for p in part])) + 1
+            flats.append(ids)
+            sizes.append(np.diff(stop, prepend=0))
+        ids, n = _encoded(self.path, new[len(joined) :])
+        flats.append(ids)
+        sizes.append(n)
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        self.flat, self.size = np.concatenate(flats), np.concatenate(sizes)
+        return np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+
+
+def _encoded(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts that are encoded one by one, and how many each has."""
+    lists = [e.ids for e in _tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(n.sum())), n
+
+
+@lru_cache(maxsize=2)
+def _token_bytes(path: str) -> np.ndarray:
+    """Bytes that each id stands for: a byte-level vocabulary writes one letter for a byte."""
+    vocab = _tokenizer(path).get_vocab()
+    out = np.zeros(max(vocab.values()) + 1, np.int64)
+    for token, i in vocab.items():
+        out[i] = len(token)
+    return out
+
+
+def spread(flat: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start, n = np.cumsum(size) - size, size[at]
+    ends = np.cumsum(n)
+    return flat[np.repeat(start[at] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)], n
+
+
+@lru_cache(maxsize=2)
+def _pieces(path: str) -> Pieces:
+    return Pieces(path)
+
+
 def encode_texts(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, and ids per text.
 
     The pre-tokenizer never joins what a single space or line feed parts, so each
     distinct piece between them is encoded once.
     """
-    t = _tokenizer(path)
+    if not texts:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
     col = pa.array(texts, pa.string())
-    odd = pc.match_substring_regex(col, _ODD).to_numpy(zero_copy_only=False).astype(bool) if texts else np.zeros(0, bool)
+    odd = pc.match_substring_regex(col, _ODD).to_numpy(zero_copy_only=False).astype(bool)
     whole = odd | (pc.utf8_length(col).to_numpy() == 0)
+    # A piece follows a space unless it begins a text or starts with a line feed.
     rows = pc.split_pattern(pc.replace_substring(pc.if_else(pa.array(whole), "", col), "\n", " \n"), " ")
-    coded = rows.flatten().dictionary_encode()
     sizes = np.diff(rows.offsets.to_numpy())
-    first = np.cumsum(sizes) - sizes
-    codes = coded.indices.to_numpy().astype(np.int64)
-    pieces = coded.dictionary.to_pylist()
-    # A piece follows a space unless it begins a text or starts with a line feed.
-    bare = np.fromiter((p.startswith("\n") for p in pieces), bool, len(pieces))
-    initial = np.zeros(len(codes), bool)
-    initial[first[sizes > 0]] = True
-    kind = codes * 2 + (initial | bare[codes] if len(codes) else initial)
-    kinds, at = np.unique(kind, return_inverse=True)
-    wanted = [pieces[k >> 1] if k & 1 else " " + pieces[k >> 1] for k in kinds.tolist()]
-    lists = [e.ids for e in t.encode_batch(wanted, add_special_tokens=False)]
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]
+    coded = rows.flatten().dictionary_encode()
+    codes, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    bare = pc.starts_with(pieces, "\n").to_numpy(zero_copy_only=False).astype(bool)
+    spaced = pc.binary_join_element_wise(" ", pieces, "")
+    known = _pieces(path)
     keep = np.repeat(~whole, sizes)
+    begins = np.zeros(len(codes), bool)
+    begins[first] = True
+    begins, codes = begins[keep], codes[keep]
     sizes = np.where(whole, 0, sizes)
-    at = at[keep]
+    inner = np.unique(codes[~begins])
+    start = np.unique(codes[begins])
+    wanted = pc.if_else(pa.array(bare), pieces, spaced).take(pa.array(inner)).to_pylist() + pieces.take(pa.array(start)).to_pylist()
+    numbers = known.add(wanted)
+    of_inner, of_start = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+    of_inner[inner], of_start[start] = numbers[: len(inner)], numbers[len(inner) :]
+    at, flat, size = np.where(begins, of_start[codes], of_inner[codes]), known.flat, known.size
     if odd.any():
         places = np.flatnonzero(odd)
-        lists += [e.ids for e in t.encode_batch([texts[i] for i in places], add_special_tokens=False)]
-        at = np.insert(at, (np.cumsum(sizes) - sizes)[places], len(wanted) + np.arange(len(places)))
+        ids, n = _encoded(path, [texts[i] for i in places])
+        at = np.insert(at, (np.cumsum(sizes) - sizes)[places], len(size) + np.arange(len(places)))
         sizes[places] = 1
-    if not len(at):
-        return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-    ids, n = gathered(lists, at)
+        flat, size = np.concatenate([flat, ids]), np.concatenate([size, n])
+    ids, n = spread(flat, size, at)
     edge = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(sizes)))]
     return ids, np.diff(edge)
 
@@ -123,15 +191,21 @@ def compress(ids: np.ndarray, base: int, rounds: int = 8, least: int = 8, most:
         if not chosen:
             break
         table = np.sort(np.array(chosen, np.int64))
-        where = np.minimum(np.searchsorted(table, key), len(table) - 1)
-        hit = table[where] == key
+        # Few positions can start a chosen pair: look only those up.
+        begin, follow = np.zeros(base + len(rules), bool), np.zeros(base + len(rules), bool)
+        begin[table >> 32] = follow[table & 0xFFFFFFFF] = True
+        maybe = np.flatnonzero(begin[s[:-1]] & follow[s[1:]])
+        found = np.minimum(np.searchsorted(table, key[maybe]), len(table) - 1)
+        good = table[found] == key[maybe]
+        hit, where = np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+        hit[maybe[good]], where[maybe[good]] = True, found[good]
         # A run of one symbol is paired from its start.
         same = hit & (s[:-1] == s[1:])
         if same.any():
             i = np.flatnonzero(same)
             start = np.concatenate(([True], np.diff(i) > 1))
-            begin = i[start][np.cumsum(start) - 1]
-            hit[i[(i - begin) % 2 == 1]] = False
+            run = i[start][np.cumsum(start) - 1]
+            hit[i[(i - run) % 2 == 1]] = False
         i = np.flatnonzero(hit)
         s[i] = base + len(rules) + where[i]
         s = np.delete(s, i + 1)
@@ -148,15 +222,18 @@ def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    s = symbols.astype(np.int64)
-    while (more := s >= base).any():
-        n = 1 + more
-        first = np.cumsum(n) - n
-        out = np.empty(int(n.sum()), np.int64)
-        out[first] = np.where(more, rules[np.where(more, s - base, 0), 0] if len(rules) else 0, s)
-        out[first[more] + 1] = rules[s[more] - base, 1]
-        s = out
-    return s
+    """The ids of the symbols; a rule only refers to those before it."""
+    parts: list[np.ndarray] = []
+    one = lambda x: np.array([x]) if x < base else parts[x - base]
+    for a, b in rules.tolist():
+        parts.append(np.concatenate([one(a), one(b)]))
+    # Terminals among the symbols stand for themselves: one more entry for each.
+    ends = symbols < base
+    terminal, back = np.unique(symbols[ends], return_inverse=True)
+    at = np.empty(len(symbols), np.int64)
+    at[ends], at[~ends] = back, symbols[~ends] - base + len(terminal)
+    size = np.concatenate([np.ones(len(terminal), np.int64), np.fromiter(map(len, parts), np.int64, len(parts))])
+    return spread(np.concatenate([terminal, *parts]).astype(np.int64), size, at)[0]
 
 
 _HEAD = struct.Struct("<4s6I")
