@@ -10,9 +10,10 @@ starts in a document with a smaller id.  Strings are judged on the input.
    at the same place.  Each block asks once for each anchor hash (sorted keys, cut
    into shards, sent as differences); a shard answers which occur in two documents
    or more.
-3. Around each shared anchor stands its context, ``window`` bytes that reach over
-   the anchor on either side at most.  Equal contexts are one row with the smallest
-   id (combined before the shuffle).
+3. Around each shared anchor stands its context: what strings of ``window`` bytes
+   over the anchor can reach.  Contexts travel as 64-bit hashes; equal ones are one
+   row with the smallest id (combined before the shuffle).  Only where an anchor
+   has different contexts are their bytes fetched, once for each.
 4. The distinct contexts of a range of anchors are one collection of short
    strings.  :func:`column_wise` inserts one symbol of every string in each round
    into the collection's Burrows-Wheeler transform and updates the common
@@ -45,14 +46,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import drop, keyed, release, written
+from inkfold.llm.common import drop, keyed, release, trim, written
 from inkfold.llm.lm import _pack_keys, _unpack_keys
 from inkfold.llm.minhash import _MUL, mix
 
 GRAM = 16
 BLOCK_BYTES = 4 << 20
 #: Anchor keys a shard answers, contexts in a collection, contexts of one anchor in one collection.
-SHARD_KEYS, COLLECTION, HOT = 3_000_000, 30_000, 10_000
+SHARD_KEYS, COLLECTION, HOT = 1_000_000, 20_000, 10_000
 
 
 def column_wise(strings: list[bytes], cap: int, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,12 +72,13 @@ def column_wise(strings: list[bytes], cap: int, folder: str) -> tuple[np.ndarray
 
     def before(owner: np.ndarray, length: int) -> np.ndarray:
         """The symbol in front of the suffix of that length of each owner."""
-        out = np.zeros(len(owner), np.uint16)
+        out = np.zeros(len(owner), kind)
         more = size[owner] > length
-        out[more] = text[end[owner[more]] - length - 1].astype(np.uint16) + 1
+        out[more] = text[end[owner[more]] - length - 1].astype(kind) + 1
         return out
 
-    kinds = {"symbol": np.uint16, "prefix": np.uint8, "owner": np.uint32, "length": np.uint8}
+    kind = np.uint8 if not len(text) or text.max() < 255 else np.uint16  # UTF-8 has no byte 255
+    kinds = {"symbol": kind, "prefix": np.uint8}
     read = lambda name: np.fromfile(os.path.join(folder, name), kinds[name])
 
     def write(name: str, values: np.ndarray) -> None:
@@ -84,38 +86,53 @@ def column_wise(strings: list[bytes], cap: int, folder: str) -> tuple[np.ndarray
 
     write("symbol", before(np.arange(m), 0))
     write("prefix", np.zeros(m))
-    write("owner", np.arange(m))
-    write("length", np.zeros(m))
+    # The rows inserted last, and whose they are: the only rows with a new symbol before them.
+    tip, whose = np.arange(m), np.arange(m)
     for length in range(1, int(size.max(initial=0)) + 1):
-        symbol, prefix, owner, old = read("symbol"), read("prefix"), read("owner"), read("length")
+        symbol, prefix = read("symbol"), read("prefix")
         source = np.flatnonzero(symbol)
         source = source[np.argsort(symbol[source], kind="stable")]
-        fresh = old[source] == length - 1
+        mark, name = np.zeros(len(symbol), bool), np.empty(len(symbol), np.int32)
+        mark[tip], name[tip] = True, whose
+        fresh = mark[source]
+        at = np.flatnonzero(fresh)
+        came = name[source[at]]
 
         def inserted(values: np.ndarray, new) -> np.ndarray:
             out = np.empty(m + len(source), values.dtype)
             out[:m] = values[:m]
             out[m:][~fresh] = values[m:]
-            out[m:][fresh] = new
+            out[m + at] = new
             return out
 
-        came = owner[source[fresh]]
-        prefixes = inserted(prefix, 0)
-        touched = fresh.copy()
-        touched[1:] |= fresh[:-1]
-        at = np.flatnonzero(touched)
-        block = symbol[source]
-        first = (at == 0) | (block[at] != block[at - 1])
-        prefixes[m + at[first]] = 0
-        at = at[~first]
-        if len(at):
-            a, b = source[at - 1] + 1, source[at] + 1
-            prefixes[m + at] = np.minimum(_least(prefix, a, b).astype(np.int64) + 1, cap)
-        write("symbol", inserted(symbol, before(came, length)))
+        tip, whose = m + at, came
+        symbols, prefixes = inserted(symbol, before(came, length)), inserted(prefix, 0)
+        moved = fresh.copy()
+        moved[1:] |= fresh[:-1]
+        touched = np.flatnonzero(moved)
+        block = symbol[source[touched]]
+        first = (touched == 0) | (block != symbol[source[touched - 1]])
+        prefixes[m + touched[first]] = 0
+        touched = touched[~first]
+        if len(touched):
+            least = _least(prefix, source[touched - 1] + 1, source[touched] + 1)
+            prefixes[m + touched] = np.minimum(least.astype(np.int64) + 1, cap)
+        write("symbol", symbols)
         write("prefix", prefixes)
-        write("owner", inserted(owner, came))
-        write("length", inserted(old, length))
-    return read("owner"), read("length"), read("prefix")
+
+    # Owners and lengths: one step of the last-to-first mapping per symbol, from the empty suffixes.
+    symbol, prefix = read("symbol"), read("prefix")
+    source = np.flatnonzero(symbol)
+    source = source[np.argsort(symbol[source], kind="stable")]
+    follow = np.full(len(symbol), -1, np.int64)
+    follow[source] = m + np.arange(len(source))
+    owner, lengths = np.zeros(len(symbol), np.int64), np.zeros(len(symbol), np.int64)
+    row, own, length = np.arange(m), np.arange(m), 0
+    while len(row):
+        owner[row], lengths[row] = own, length
+        row = follow[row]
+        row, own, length = row[row >= 0], own[row >= 0], length + 1
+    return owner, lengths, prefix
 
 
 def _least(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -285,6 +302,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         n = np.bincount(back) + np.bincount(back, np.concatenate(many)).astype(np.int64)
         shared = [flat_[n[at] > 1] for flat_, at in zip(keys, np.split(back, np.cumsum([len(k) for k in keys])[:-1]))]
         full = [i for i, s in enumerate(shared) if len(s)]
+        del keys, many, flat, back
+        trim()
         return pa.table({"block": table.column("block").take(pa.array(full, pa.int64())), "keys": pa.array([_pack_keys(shared[i]) for i in full], pa.binary())})
 
     replies = written(asked.groupBy("shard").applyInArrow(answer, "block string, keys binary"), "suffix-shared")
@@ -293,7 +312,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
         import xxhash
 
-        names, types = ["block", "k", "id", "at", "size", "anchor", "key", "context"], [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        names, types = ["block", "k", "id", "at", "size", "anchor", "key"], [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         keys = [_unpack_keys(x) for x in right.column("keys").to_pylist() if x is not None]
         if not left.num_rows or not keys:
             return pa.table({c: pa.array([], t) for c, t in zip(names, types)})
@@ -303,55 +322,69 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         doc, at, h = doc[keep], at[keep], h[keep]
         reach = window - GRAM
         start, end = np.maximum(at - reach, 0), np.minimum(at + GRAM + reach, block.sizes[doc])
-        base = block.ends[doc] - block.sizes[doc]
-        raw = block.data.tobytes()
-        context = [raw[a:b] for a, b in zip(base + start, base + end)]
+        base, raw = block.ends[doc] - block.sizes[doc], memoryview(block.data)
+        digest = xxhash.xxh3_64_intdigest
+        key = np.fromiter((digest(raw[a:b], seed=s) for a, b, s in zip((base + start).tolist(), (base + end).tolist(), h.tolist())), np.uint64, len(h))
         ids = np.asarray(left.column("ids")[0].as_py())
-        key = [xxhash.xxh3_128_digest(c, seed=int(x) & 0xFFFFFFFF) for c, x in zip(context, h)]
-        values = [[left.column("block")[0].as_py()] * len(h), doc, ids[doc], start, end - start, h.view(np.int64), key, context]
-        return pa.table({c: pa.array(v, t) for c, v, t in zip(names, values, types)})
+        values = [pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(h), np.int32)), left.column("block").combine_chunks().slice(0, 1)).cast(pa.string()), doc, ids[doc], start, end - start, h.view(np.int64), key.view(np.int64)]
+        return pa.table({c: pa.array(v, t) if isinstance(v, np.ndarray) else v for c, v, t in zip(names, values, types)})
 
     told = replies.select("block", "keys", F.lit(None).cast("int").alias("k")).unionByName(copies.select("block", F.lit(None).cast("binary").alias("keys"), "k"))
-    found = packed.select("block", "ids", "sizes", "texts").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(contexts, "block string, k int, id bigint, at int, size int, anchor bigint, key binary, context binary")
+    found = packed.select("block", "ids", "sizes", "texts").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(contexts, "block string, k int, id bigint, at int, size int, anchor bigint, key bigint")
     found = written(found, "suffix-contexts")
     drop(replies)
     release(spark)
 
-    kinds = written(found.groupBy("key").agg(F.min("id").alias("id"), F.first("anchor").alias("anchor"), F.first("context").alias("context")), "suffix-distinct")
-    crowd = kinds.groupBy("anchor").agg(F.count("*").alias("n"))
+    # One row for equal contexts: their smallest id, and where its bytes are.
+    kinds = found.groupBy("key", "anchor").agg(F.min(F.struct("id", "block", "k", "at", "size")).alias("r")).select("key", "anchor", "r.*")
+    kinds = written(kinds, "suffix-distinct")
+    release(spark)
+    # An anchor whose contexts are all equal has no other strings to compare.
+    crowd = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     n, top = crowd.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).head()
     parts = max(1, -(-n // COLLECTION))
+
+    def fetch(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return right.select(["key", "anchor", "id"]).append_column("n", right.column("n")).append_column("context", pa.array([None] * right.num_rows, pa.binary())).slice(0, 0)
+        block = opened(left)
+        k, at, size = (right.column(c).to_numpy() for c in ("k", "at", "size"))
+        start, raw = block.ends[k] - block.sizes[k] + at, block.data.tobytes()
+        context = pa.array([raw[a:b] for a, b in zip(start.tolist(), (start + size).tolist())], pa.binary())
+        return pa.table({"key": right.column("key"), "anchor": right.column("anchor"), "id": right.column("id"), "n": right.column("n"), "context": context})
+
+    wanted = kinds.join(crowd, "anchor").select("block", "k", "at", "size", "key", "anchor", "id", "n")
+    plan = packed.select("block", "sizes", "texts").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(fetch, "key bigint, anchor bigint, id bigint, n bigint, context binary")
+    # An anchor of very many contexts is dealt over collections of its own.
+    turns = F.ceil(F.col("n") / HOT).cast("int")
+    plan = plan.withColumn("turn", F.when(F.col("n") <= HOT, 0).otherwise(1 + F.pmod(F.xxhash64("key"), turns)).cast("int"))
     collection = F.pmod(F.xxhash64("anchor"), F.lit(parts)).cast("int")
-    plan = kinds.withColumn("turn", F.lit(0))
-    if top > HOT:
-        # One anchor's contexts are dealt over collections of their own.
-        hot = crowd.where(F.col("n") > HOT).select("anchor", F.ceil(F.col("n") / HOT).cast("int").alias("turns"))
-        plan = kinds.join(hot, "anchor", "left").withColumn("turn", F.when(F.col("turns").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("key"), F.col("turns")))).drop("turns")
 
     def collect(table: pa.Table) -> pa.Table:
         """Strings with an id smaller than their context's; all strings where other collections have more of the anchor."""
         context, least_ = table.column("context").to_pylist(), table.column("id").to_numpy()
         owner, start, ids = shared_strings(context, least_, window)
+        trim()
         dealt = table.column("turn")[0].as_py() > 0
         keep = np.ones(len(owner), bool) if dealt else ids < least_[owner]
         owner, start, ids = owner[keep], start[keep], ids[keep]
         string = [hashlib.blake2b(context[o][s : s + window], digest_size=16).digest() for o, s in zip(owner, start)] if dealt else [None] * len(owner)
-        return pa.table({"key": table.column("key").take(pa.array(owner)), "own": pa.array(least_[owner]), "start": pa.array(start, pa.int32()), "least": pa.array(ids, pa.int64()), "string": pa.array(string, pa.binary())})
+        return pa.table({"key": table.column("key").take(pa.array(owner)), "anchor": table.column("anchor").take(pa.array(owner)), "own": pa.array(least_[owner]), "start": pa.array(start, pa.int32()), "least": pa.array(ids, pa.int64()), "string": pa.array(string, pa.binary())})
 
-    strings = plan.groupBy(collection.alias("collection"), F.when(F.col("turn") > 0, F.col("anchor")).alias("alone"), "turn").applyInArrow(collect, "key binary, own bigint, start int, least bigint, string binary")
+    strings = plan.groupBy(collection.alias("collection"), F.when(F.col("turn") > 0, F.col("anchor")).alias("alone"), "turn").applyInArrow(collect, "key bigint, anchor bigint, own bigint, start int, least bigint, string binary")
     if top > HOT:
         strings = written(strings, "suffix-strings")
         best = strings.where("string IS NOT NULL").groupBy("string").agg(F.min("least").alias("best"))
-        dealt = strings.where("string IS NOT NULL").join(best, "string").where("best < own").select("key", "start")
-        strings = strings.where("string IS NULL").select("key", "start").unionByName(dealt)
-    starts = strings.groupBy("key").agg(F.collect_set("start").alias("starts"))
-    known = written(kinds.select("key", F.col("id").alias("least")).join(starts, "key", "left"), "suffix-spans")
+        dealt = strings.where("string IS NOT NULL").join(best, "string").where("best < own").select("key", "anchor", "start")
+        strings = strings.where("string IS NULL").select("key", "anchor", "start").unionByName(dealt)
+    starts = strings.groupBy("key", "anchor").agg(F.collect_set("start").alias("starts"))
+    known = written(kinds.select("key", "anchor", F.col("id").alias("least")).join(starts, ["key", "anchor"], "left"), "suffix-spans")
     release(spark)
 
     # A context that a smaller document has too goes whole; the smallest document's own, by its strings.
     whole = F.array(F.struct(F.col("at").alias("from"), (F.col("at") + F.col("size")).alias("to")))
     some = F.transform(F.coalesce("starts", F.array().cast("array<int>")), lambda s: F.struct((F.col("at") + s).alias("from"), (F.col("at") + s + window).alias("to")))
-    spans = found.where(F.col("size") >= window).join(known, "key").select("block", "k", F.explode(F.when(F.col("id") > F.col("least"), whole).otherwise(some)).alias("s"))
+    spans = found.where(F.col("size") >= window).join(known, ["key", "anchor"]).select("block", "k", F.explode(F.when(F.col("id") > F.col("least"), whole).otherwise(some)).alias("s"))
     spans = spans.groupBy("block", "k").agg(F.collect_set("s").alias("s")).select("block", "k", F.transform("s", lambda s: s["from"]).alias("from"), F.transform("s", lambda s: s["to"]).alias("to"))
     marks = spans.unionByName(copies.select("block", "k", F.lit(None).cast("array<int>").alias("from"), F.lit(None).cast("array<int>").alias("to")))
 
