@@ -1,11 +1,17 @@
 """Secret scans with a recursive decoding worklist.
 
 Three patterns are searched in the whole text.  Then layers are unwrapped until
-nothing new appears: URL escapes, ``\\u`` and ``\\x`` escapes, base64 runs, and
-compressed data inside base64 (gzip, zlib, bz2, xz).  Each new layer is searched
-again and every find is mapped to the span of the original text that it came
-from.  A layer that was seen before at the same place is not entered again, so
-cycles end; escapes and base64 shrink their input, so the worklist is finite.
+nothing new appears: URL escapes, ``\\u`` and ``\\x`` escapes, base64 runs (also
+over line breaks), and compressed data (gzip, zlib, bz2, xz; all members) in any
+of them.  Each new layer is searched again and every find is mapped to the span
+of the original text that it came from.  A layer that was seen before at the same
+place is not entered again, so cycles end; escapes and base64 shrink their input,
+so the worklist is finite.
+
+Bytes are read as UTF-8 or else byte by byte, and as UTF-16 and UTF-32 if a
+zero byte stands beside an ASCII character; no layer is passed over for what it looks like.  Compressed
+layers are read to their end, in windows of about ``WINDOW`` bytes that end where
+no secret, base64 run or escape can continue.
 
 Defined cases: null text is empty; an empty text has no spans; spans are code
 points, end exclusive, ordered by start, kind, end; repeated rows repeat.
@@ -17,6 +23,7 @@ import base64
 import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -38,11 +45,31 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 _ESCAPED = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+")
 #: 16 base64 digits hold 12 bytes, the shortest assignment that is reported.
 _BASE64 = re.compile(r"([A-Za-z0-9+/_-]{16,})={0,2}")
-_MAYBE = r"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]{2}|[A-Za-z0-9+/_-]{16}"
+_BREAK = r"[ \t]*(?:\r?\n|\r|\\r\\n|\\n)[ \t]*"
+#: Runs over line breaks: every line after the first is base64 up to its end or a closing mark.
+_WRAPPED = re.compile(r"(?:(?<![A-Za-z0-9+/_\\-])|(?<=\\n))[A-Za-z0-9+/_-]{4,}+(?:" + _BREAK + r"[A-Za-z0-9+/_-]++(?==*[ \t]*(?:[\r\n\\\"'`<)\]};,]|\Z)))+={0,2}")
+_BREAKS = re.compile(_BREAK)
+_MAYBE = r"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f]{2}|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-]{4}[ \t]*(?:\r|\n|\\r|\\n)[ \t]*[A-Za-z0-9+/_-]|\x1f\x{8b}|BZh[1-9]"
 _URLSAFE = str.maketrans("-_", "+/")
-#: A compressed layer is read as far as this many bytes: a guard against
-#: decompression bombs, many times longer than any layer that holds text.
-MAX_INFLATED = 64 << 20
+#: Compressed data in a text: as characters, URL escapes, or backslash escapes.
+_x = lambda *codes: "".join(rf"(?:%{c}|\\x{c}|\\u00{c}|{re.escape(chr(int(c, 16)))})" for c in codes)
+_MAGIC = re.compile("(?i:" + _x("1f", "8b") + "|" + _x("78") + "(?:" + "|".join(_x(c) for c in ("01", "5e", "9c", "da")) + ")|" + _x("fd", "37", "7a", "58", "5a", "00") + "|" + _x("42", "5a", "68") + ")")
+#: What follows is one byte of such data, or more where nothing is escaped; group 1 is the code of an escape.
+_BYTES = {
+    "%": re.compile(r"%([0-9A-Fa-f]{2})|[!-$&-~]"),
+    "\\": re.compile(r"\\(?:x|u00)([0-9A-Fa-f]{2})|\\[abfnrtv0\\/\"']|[^\\\u0100-\U0010ffff]"),
+    "": re.compile(r"[\0-\xff]"),
+}
+_SHORT = {"a": 7, "b": 8, "f": 12, "n": 10, "r": 13, "t": 9, "v": 11, "0": 0}
+#: Compressed layers are searched in windows of about so many bytes.
+WINDOW = 8 << 20
+_STEP = 1 << 20
+#: A byte at which nothing that is searched for can continue.
+_CUT = re.compile(rb"[^\0\t\n\r A-Za-z0-9+/_.=:\"'%\\-]|\0{8}")
+#: Characters of UTF-16 and UTF-32 that all secrets, escapes and base64 runs have.
+_WIDE = re.compile(rb"[!-~]\0|\0[!-~]")
+_WIDER = re.compile(rb"[!-~]\0\0\0|\0\0\0[!-~]")
+_ERRORS = (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError)
 
 
 def find(text: str) -> list[tuple[int, int, int]]:
@@ -53,46 +80,170 @@ def find(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _inflate(data: bytes) -> bytes | None:
-    """The content of a compressed layer, None if it is none or is damaged."""
-    try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, MAX_INFLATED)
-        if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, MAX_INFLATED)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MAX_INFLATED)
-        if data[:6] == b"\xfd7zXZ\0":
-            return lzma.LZMADecompressor().decompress(data, MAX_INFLATED)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
+def _opener(head: bytes):
+    """What inflates data that begins so, None if it is not compressed."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\0":
+        return lzma.LZMADecompressor()
     return None
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text[:64]) and sum(c.isprintable() or c in "\t\n\r" for c in text) >= 0.95 * len(text) else None
+def _pull(d, data: bytes) -> Iterator[bytes]:
+    """All that ``d`` gives for ``data``, in steps."""
+    while True:
+        out = d.decompress(data, _STEP)
+        data = getattr(d, "unconsumed_tail", b"")
+        if out:
+            yield out
+        if d.eof or (d.needs_input if hasattr(d, "needs_input") else not data and len(out) < _STEP):
+            return
+
 
+def _inflate(chunks: Iterator[bytes], tail: bool = True, used: list[int] | None = None) -> Iterator[bytes]:
+    """The content of all members, as far as they are sound, and of ``tail`` what follows them.
 
-def unbase64(run: str) -> str | None:
-    """The text in a base64 run, through any compressed layers; None if there is none."""
+    ``used[0]`` is set to the length of the members.
+    """
+    buf, fed = b"", 0
+
+    def more(n: int) -> None:
+        nonlocal buf, fed
+        while len(buf) < n and (c := next(chunks, b"")):
+            buf, fed = buf + c, fed + len(c)
+
+    more(6)
+    d = _opener(buf)
+    while d is not None:
+        try:
+            while not d.eof:
+                yield from _pull(d, buf)
+                buf = d.unused_data if d.eof else b""
+                if not d.eof:
+                    more(1)
+                    if not buf:
+                        break
+        except _ERRORS:
+            buf = b""
+        if used is not None:
+            used[0] = fed - len(buf)
+        if not d.eof:
+            return
+        more(6)
+        while buf[:1] == b"\0" and not buf.strip(b"\0") and len(buf) < _STEP:
+            before = len(buf)
+            more(before + 1)
+            if len(buf) == before:
+                break
+        more(len(buf) - len(buf.lstrip(b"\0")) + 6)
+        d = _opener(buf.lstrip(b"\0"))
+        buf = buf.lstrip(b"\0") if d is not None else buf
+    if tail:
+        if buf:
+            yield buf
+        yield from chunks
+
+
+def _windows(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The same bytes, cut only where nothing that is searched for can continue."""
+    parts, size = [], 0
+    for c in chunks:
+        parts.append(c)
+        size += len(c)
+        if size < WINDOW:
+            continue
+        cut = 0
+        for at in (max(len(c) - 4096, 0), 0):
+            for m in _CUT.finditer(c, at):
+                cut = m.end()
+            if cut:
+                break
+        if cut:
+            yield b"".join(parts)[: size - len(c) + cut]
+            parts = [c[cut:]]
+            size = len(parts[0])
+    if size:
+        yield b"".join(parts)
+
+
+def _readings(data: bytes) -> Iterator[str]:
+    """The texts that the bytes can be."""
+    try:
+        yield data.decode("utf-8")
+    except UnicodeDecodeError:
+        yield data.decode("latin-1")
+    if _WIDE.search(data):
+        for part in (data, data[1:]):
+            yield part.decode("utf-16-le", "replace")
+            yield part.decode("utf-16-be", "replace")
+    if _WIDER.search(data):
+        yield data.decode("utf-32-le", "replace")
+        yield data.decode("utf-32-be", "replace")
+
+
+def _texts(chunks: Iterator[bytes]) -> Iterator[str]:
+    """The texts in these bytes, through any compressed layers."""
+    heads: set[bytes] = set()
+    while True:
+        head = b""
+        while len(head) < _STEP and (c := next(chunks, b"")):
+            head += c
+        key = hashlib.sha1(head).digest()
+        chunks = itertools.chain([head] if head else [], chunks)
+        if key in heads or _opener(head) is None:
+            break
+        heads.add(key)
+        chunks = _inflate(chunks)
+    for window in _windows(chunks):
+        if window.strip(b"\0"):
+            yield from _readings(window)
+
+
+def unbase64(run: str) -> Iterator[str]:
+    """The texts in a base64 run, through any compressed layers."""
     run = run.translate(_URLSAFE)
     run = run[: len(run) - 1] if len(run) % 4 == 1 else run
     try:
         data = base64.b64decode(run + "=" * (-len(run) % 4))
     except (binascii.Error, ValueError):
-        return None
-    seen: set[bytes] = set()
-    while (inner := _inflate(data)) is not None:
-        key = hashlib.sha1(data).digest()
-        if key in seen:
-            return None
-        seen.add(key)
-        data = inner
-    return _readable(data)
+        return iter(())
+    return _texts(iter([data]))
+
+
+def _escaped_bytes(text: str, start: int, mode: str, ends: array, plus: bool) -> Iterator[bytes]:
+    """The bytes that the text holds from ``start`` on; ``ends`` gets where each ends."""
+    out, pattern, pos = bytearray(), _BYTES[mode], start
+    while m := pattern.match(text, pos):
+        c = m[0]
+        out.append(int(m[1], 16) if len(c) > 2 else _SHORT.get(c[1], ord(c[1])) if len(c) == 2 else 32 if plus and c == "+" else ord(c))
+        pos = m.end()
+        ends.append(pos)
+        if len(out) == 1024:
+            yield bytes(out)
+            out.clear()
+    if out:
+        yield bytes(out)
+
+
+def compressed(text: str) -> Iterator[tuple[int, int, Iterator[str]]]:
+    """(start, end, texts) of the compressed data that stand in a text, escaped or not."""
+    done = 0
+    for m in _MAGIC.finditer(text):
+        if m.start() < done:
+            continue
+        for mode, plus in (("%", False), ("%", True), ("\\", False), ("", False)):
+            ends, used, some = array("q"), [0], False
+            for _ in _inflate(_escaped_bytes(text, m.start(), mode, ends, plus), False, used):
+                some = True
+            if some:
+                end = ends[used[0] - 1]
+                yield m.start(), end, _texts(_escaped_bytes(text[:end], m.start(), mode, array("q"), plus))
+                done = max(done, end)
+
 
 
 class Layer:
@@ -133,14 +284,12 @@ def unescaped(layer: Layer) -> Layer | None:
         units = [int(run[i + step - (4 if step == 6 else 2) : i + step], 16) for i in range(0, len(run), step)]
         try:
             if step == 6:
-                chars = b"".join(u.to_bytes(2, "big") for u in units).decode("utf-16-be")
+                chars = b"".join(u.to_bytes(2, "big") for u in units).decode("utf-16-be", "surrogatepass")
                 width = [2 if ord(c) > 0xFFFF else 1 for c in chars]
             else:
                 chars = bytes(units).decode("utf-8")
                 width = [len(c.encode()) for c in chars]
         except UnicodeDecodeError:
-            if step == 6:
-                continue
             chars, width = bytes(units).decode("latin-1"), [1] * len(units)
         keep(last, m.start())
         pos = m.start()
@@ -157,29 +306,50 @@ def unescaped(layer: Layer) -> Layer | None:
     return Layer("".join(out), at, to)
 
 
+def children(layer: Layer) -> Iterator[Layer]:
+    """The layers inside a layer, one at a time."""
+    text = layer.text
+    if ("%" in text or "\\" in text) and (child := unescaped(layer)):
+        yield child
+    for m in _BASE64.finditer(text):
+        run, start = m[1], m.start()
+        for inner in unbase64(run):
+            yield Layer(inner, *layer.origin(*m.span()))
+        if start and text[start - 1] == "\\" and run[0] in "nrt":
+            for inner in unbase64(run[1:]):
+                yield Layer(inner, *layer.origin(start + 1, m.end()))
+    for m in _WRAPPED.finditer(text):
+        run = _BREAKS.sub("", m[0]).rstrip("=")
+        if len(run) >= 16:
+            for inner in unbase64(run):
+                yield Layer(inner, *layer.origin(*m.span()))
+    for start, end, texts in compressed(text):
+        for inner in texts:
+            yield Layer(inner, *layer.origin(start, end))
+
+
 def scan_text(text: str) -> list[tuple[int, int, int, bool]]:
     """Ordered (start, kind index, end, base): base finds and those of decoded layers."""
-    base = find(text)
-    found = {x: True for x in base}
-    seen: set[tuple[str, tuple[int, int]]] = {(text, (0, len(text)))}
-    work = [Layer(text)]
+    found = {x: True for x in find(text)}
+
+    def key(layer: Layer) -> tuple[bytes, tuple[int, int]]:
+        return hashlib.sha1(layer.text.encode("utf-8", "surrogatepass")).digest(), layer.origin(0, len(layer.text))
+
+    root = Layer(text)
+    seen = {key(root)}
+    work = [children(root)]
     while work:
-        layer = work.pop()
-        children = []
-        if ("%" in layer.text or "\\" in layer.text) and (child := unescaped(layer)):
-            children.append(child)
-        for m in _BASE64.finditer(layer.text):
-            if (inner := unbase64(m[1])) is not None:
-                children.append(Layer(inner, *layer.origin(*m.span())))
-        for child in children:
-            key = (child.text, child.origin(0, len(child.text))) if child.text else None
-            if key is None or key in seen:
-                continue
-            seen.add(key)
-            work.append(child)
-            for x, k, y in find(child.text):
-                a, b = child.origin(x, y)
-                found.setdefault((a, k, b), False)
+        child = next(work[-1], None)
+        if child is None:
+            work.pop()
+            continue
+        if not child.text or (k := key(child)) in seen:
+            continue
+        seen.add(k)
+        for x, kind, y in find(child.text):
+            a, b = child.origin(x, y)
+            found.setdefault((a, kind, b), False)
+        work.append(children(child))
     return sorted((a, k, b, is_base) for (a, k, b), is_base in found.items())
 
 
