@@ -8,8 +8,9 @@ adaptive rates) with L1 and L2 penalties, so most of them are exactly zero.  The
 last step fits one temperature on calibration rows that the weights never saw.
 
 Bound: the classifier is fitted on at most ``max_rows`` labelled rows, those with
-the smallest hashes of their id and text, and at most ``max_chars`` characters of
-each; everything else covers all rows and whole texts.
+the smallest hashes of their id and text; all else covers all rows, and texts are
+always whole.  What comes to the driver of a text is its features, at most
+``2**bits`` of them.
 
 Defined cases: a text that is null or has no letter gets ``und`` and score 0; a
 model without training rows gives ``und`` for every text; ties between classes
@@ -19,6 +20,7 @@ go to the first in sorted order; repeated rows repeat.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -203,7 +205,30 @@ def document_frequencies(texts: DataFrame, bits: int) -> tuple[np.ndarray, int]:
     return out, int(sums["n"].to_numpy()[~real].sum())
 
 
-def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", *, key: Column | None = None, bits: int = 16, max_rows: int = 6000, max_chars: int = 4000, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3, epochs: int = 6, batch: int = 16, seed: int = 1) -> Model:
+def _packed(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Label and packed features of the rows of (text, label, ...) that have a letter."""
+    for b in batches:
+        cleaned = [letters(t) for t in b.column("text").to_pylist()]
+        keep = [i for i, t in enumerate(cleaned) if t]
+        packed: list[bytes] = []
+        texts = [cleaned[i] for i in keep]
+        for part in blocks(texts):
+            row, col, count = features(texts[part], bits)
+            cut = np.searchsorted(row, np.arange(1, part.stop - part.start))
+            packed += [zlib.compress(np.concatenate((np.diff(c, prepend=0), n)).astype("<u4").tobytes(), 1) for c, n in zip(np.split(col, cut), np.split(count, cut))]
+        yield pa.record_batch([b.column("label").take(pa.array(keep, pa.int64())), pa.array(packed, pa.binary())], ["label", "features"])
+    trim()
+
+
+def _weighted(packed: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bins and TF-IDF values of unit length."""
+    step, count = np.frombuffer(zlib.decompress(packed), "<u4").reshape(2, -1)
+    col = np.cumsum(step, dtype=np.int32)
+    value = (1 + np.log(count)) * idf[col]
+    return col, (value / (np.sqrt(value @ value) or 1)).astype(np.float32)
+
+
+def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", *, key: Column | None = None, bits: int = 16, max_rows: int = 6000, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3, epochs: int = 6, batch: int = 16, seed: int = 1) -> Model:
     """Fit on the labelled rows of ``df``; ``key`` orders the bounded sample (default: the text).
 
     Each fifth row of the sample is kept from the weights and fits the temperature.
@@ -213,28 +238,19 @@ def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", *, key
     idf = np.log((1 + n_docs) / (1 + df_counts)).astype(np.float32) + 1
     # Only about 1.3 times the sample reaches the sort, whatever the table's size.
     reach = 1 << 31 if n_docs <= 2 * max_rows else int((1 << 31) * 1.3 * max_rows / n_docs) + 1
-    near = labelled.where(F.pmod("h", F.lit(1 << 31)) < reach).select(F.substring("text", 1, max_chars).alias("text"), "label", "h")
-    sample = near.orderBy("h", "label", "text").limit(max_rows).select("text", "label").toPandas()
-    cleaned = [letters(t) for t in sample["text"]]
-    keep = [i for i, t in enumerate(cleaned) if t]
-    cleaned, names = [cleaned[i] for i in keep], [sample["label"][i] for i in keep]
+    near = labelled.where(F.pmod("h", F.lit(1 << 31)) < reach)
+    sample = near.orderBy("h", "label", "text").limit(max_rows).mapInArrow(lambda b: _packed(b, bits), "label string, features binary").toPandas()
+    names = list(sample["label"])
     labels = sorted(set(names))
     if not labels:
         return Model([], bits, idf, np.zeros((1 << bits, 0), np.float32), np.zeros(0))
     y = np.array([labels.index(x) for x in names])
-    rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for part in blocks(cleaned):
-        own = cleaned[part]
-        row, col, count = features(own, bits)
-        value = (1 + np.log(count)) * idf[col]
-        norm = np.sqrt(np.bincount(row, value * value, len(own)))
-        cut = np.searchsorted(row, np.arange(1, len(own)))
-        rows += [(c, v / (nn or 1)) for c, v, nn in zip(np.split(col, cut), np.split(value, cut), norm)]
+    rows = [_weighted(x, idf) for x in sample["features"]]
     held = np.arange(len(rows)) % 5 == 4
     weights, bias = ftrl([r for r, h in zip(rows, held) if not h], y[~held], len(labels), bits, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=epochs, batch=batch, seed=seed)
     model = Model(labels, bits, idf, weights, bias)
     if held.any():
-        model.temperature = temperature(np.concatenate([model.logits([t for t, h in zip(cleaned, held) if h])]), y[held])
+        model.temperature = temperature(np.stack([v @ weights[c] + bias for (c, v), h in zip(rows, held) if h]), y[held])
     return model
 
 

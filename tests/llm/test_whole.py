@@ -10,7 +10,7 @@ import zlib
 
 import pytest
 
-from inkfold.llm import secrets
+from inkfold.llm import langid, secrets
 
 # --- 5 ---------------------------------------------------------------------------------
 
@@ -64,3 +64,12 @@ def test_a_window_ends_where_no_secret_can_go_on(monkeypatch):
     for n in range(60, 140):
         assert secrets.redact(b64(gzip.compress(b"," * n + SECRET.encode() + b"," * 50))) == "[assign removed]"
     assert secrets.redact("clean\nlines\nof words and more\nwithout 100% of\nanything BZh9 x^2 x%01") == "clean\nlines\nof words and more\nwithout 100% of\nanything BZh9 x^2 x%01"
+
+
+# --- 8 ---------------------------------------------------------------------------------
+
+
+def test_long_texts_are_learned_to_their_end(spark):
+    texts = [("same opening of all texts " * 200 + w * 300, lang) for k in range(30) for w, lang in ((f"zweifellos zwischen {k} ", "de"), (f"beaucoup toujours {k} ", "fr"))]
+    model = langid.train(spark.createDataFrame(texts, "text string, lang string"))
+    assert model.predict(["zweifellos zwischen", "beaucoup toujours"])[0] == ["de", "fr"]
