@@ -7,9 +7,11 @@ document.  The weights are learned by follow-the-regularised-leader (per-weight
 adaptive rates) with L1 and L2 penalties, so most of them are exactly zero.  The
 last step fits one temperature on calibration rows that the weights never saw.
 
-Bound: the classifier is fitted on at most ``max_rows`` labelled rows, those with
-the smallest hashes of their id and text; all else covers all rows, and texts are
-always whole.  What comes to the driver of a text is its features, at most
+Bound: the classifier is fitted on at most ``max_rows`` labelled rows (2 for each
+label, if those are more), those of each label with the smallest hashes of their
+id and text.  Labels are counted over all rows and each has its quota, in
+proportion to its rows but ``LEAST_ROWS`` at least or all that it has.  All else
+covers all rows, and texts are always whole.  What comes to the driver of a text is its features, at most
 ``2**bits`` of them.
 
 Defined cases: a text that is null or has no letter gets ``und`` and score 0; a
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +39,8 @@ _OTHER = re.compile(r"[\W\d_]+")
 _HASH = [np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917)]
 #: Texts whose features are in memory at a time: about so many characters.
 BLOCK_CHARS = 1_000_000
+#: So many rows of each label are in the sample, or all that there are.
+LEAST_ROWS = 50
 
 
 def letters(text: str | None) -> str:
@@ -180,43 +185,67 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def document_frequencies(texts: DataFrame, bits: int) -> tuple[np.ndarray, int]:
-    """In how many of all rows of ``text`` each bin occurs, and the number of rows.
+def document_frequencies(texts: DataFrame, bits: int) -> tuple[np.ndarray, int, dict[str, int]]:
+    """In how many of all rows of ``text`` each bin occurs, the number of rows, and
+    that of the rows with a letter by ``label``.
 
-    Each task sends one count per bin that it met; the result has ``2**bits``
-    rows at most.
+    Each task sends one count per bin and label that it met; the result has
+    ``2**bits`` rows and the labels at most.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(1 << bits, np.int64), 0
+        df, n, per = np.zeros(1 << bits, np.int64), 0, Counter()
         for b in batches:
             cleaned = [letters(t) for t in b.column(0).to_pylist()]
             n += len(cleaned)
+            per.update(x for t, x in zip(cleaned, b.column(1).to_pylist()) if t)
             for part in blocks(cleaned):
                 df += np.bincount(features(cleaned[part], bits)[1], minlength=1 << bits)
         at = np.flatnonzero(df)
         trim()
-        yield pa.record_batch([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(df[at], n), pa.int64())], ["bin", "n"])
+        bins = np.concatenate((at, [-1], np.full(len(per), -2)))
+        sums = np.concatenate((df[at], [n], np.fromiter(per.values(), np.int64, len(per))))
+        yield pa.record_batch([pa.array(bins, pa.int64()), pa.array([None] * (len(at) + 1) + list(per), pa.string()), pa.array(sums, pa.int64())], ["bin", "label", "n"])
 
-    sums = texts.select("text").mapInArrow(count, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    sums = texts.select("text", "label").mapInArrow(count, "bin bigint, label string, n bigint").groupBy("bin", "label").agg(F.sum("n").alias("n")).toPandas()
+    at, n = sums["bin"].to_numpy(), sums["n"].to_numpy()
     out = np.zeros(1 << bits, np.int64)
-    real = sums["bin"].to_numpy() >= 0
-    out[sums["bin"].to_numpy()[real]] = sums["n"].to_numpy()[real]
-    return out, int(sums["n"].to_numpy()[~real].sum())
+    out[at[at >= 0]] = n[at >= 0]
+    return out, int(n[at == -1].sum()), dict(zip(sums["label"][at == -2], map(int, n[at == -2])))
 
 
-def _packed(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Label and packed features of the rows of (text, label, ...) that have a letter."""
+def quotas(per: dict[str, int], max_rows: int) -> dict[str, int]:
+    """How many rows of each label are in the sample."""
+    floor = max(2, min(LEAST_ROWS, max_rows // max(len(per), 1)))
+    least = {x: min(n, floor) for x, n in per.items()}
+    left, rest = sum(per.values()) - sum(least.values()), max(0, max_rows - sum(least.values()))
+    return {x: least[x] + (min(left, rest) * (n - least[x]) // left if left else 0) for x, n in per.items()}
+
+
+def calibrates(names: list[str]) -> np.ndarray:
+    """Each fifth row of a label, or its last if there are two to four."""
+    total, seen, out = Counter(names), Counter(), np.zeros(len(names), bool)
+    for i, x in enumerate(names):
+        seen[x] += 1
+        out[i] = seen[x] % 5 == 0 or 1 < total[x] < 5 and seen[x] == total[x]
+    return out
+
+
+def _packed(batches: Iterator[pa.RecordBatch], bits: int, reach: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """Label, hash and packed features of the rows within their label's reach that have a letter."""
     for b in batches:
-        cleaned = [letters(t) for t in b.column("text").to_pylist()]
-        keep = [i for i, t in enumerate(cleaned) if t]
+        names, hashes = b.column("label").to_pylist(), b.column("h").to_numpy()
+        inside = [i for i, (x, h) in enumerate(zip(names, hashes % (1 << 31))) if h < reach.get(x, 0)]
+        cleaned = dict(zip(inside, map(letters, b.column("text").take(pa.array(inside, pa.int64())).to_pylist())))
+        keep = [i for i in inside if cleaned[i]]
         packed: list[bytes] = []
         texts = [cleaned[i] for i in keep]
         for part in blocks(texts):
             row, col, count = features(texts[part], bits)
             cut = np.searchsorted(row, np.arange(1, part.stop - part.start))
             packed += [zlib.compress(np.concatenate((np.diff(c, prepend=0), n)).astype("<u4").tobytes(), 1) for c, n in zip(np.split(col, cut), np.split(count, cut))]
-        yield pa.record_batch([b.column("label").take(pa.array(keep, pa.int64())), pa.array(packed, pa.binary())], ["label", "features"])
+        at = pa.array(keep, pa.int64())
+        yield pa.record_batch([b.column("label").take(at), b.column("h").take(at), pa.array(packed, pa.binary())], ["label", "h", "features"])
     trim()
 
 
@@ -231,22 +260,24 @@ def _weighted(packed: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", *, key: Column | None = None, bits: int = 16, max_rows: int = 6000, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3, epochs: int = 6, batch: int = 16, seed: int = 1) -> Model:
     """Fit on the labelled rows of ``df``; ``key`` orders the bounded sample (default: the text).
 
-    Each fifth row of the sample is kept from the weights and fits the temperature.
+    Each fifth row of a label is kept from the weights and fits the temperature.
     """
     labelled = df.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{label_col}`").cast("string").alias("label"), F.xxhash64(key if key is not None else F.col(f"`{text_col}`")).alias("h")).where("text IS NOT NULL AND label IS NOT NULL")
-    df_counts, n_docs = document_frequencies(labelled, bits)
+    df_counts, n_docs, per_label = document_frequencies(labelled, bits)
     idf = np.log((1 + n_docs) / (1 + df_counts)).astype(np.float32) + 1
-    # Only about 1.3 times the sample reaches the sort, whatever the table's size.
-    reach = 1 << 31 if n_docs <= 2 * max_rows else int((1 << 31) * 1.3 * max_rows / n_docs) + 1
-    near = labelled.where(F.pmod("h", F.lit(1 << 31)) < reach)
-    sample = near.orderBy("h", "label", "text").limit(max_rows).mapInArrow(lambda b: _packed(b, bits), "label string, features binary").toPandas()
-    names = list(sample["label"])
+    quota = quotas(per_label, max_rows)
+    # Only little more than the sample leaves the scan, whatever the table's size.
+    reach = {x: 1 << 31 if per_label[x] <= 2 * q else int((1 << 31) * min(1, (q + 8 * q**0.5 + 40) / per_label[x])) + 1 for x, q in quota.items()}
+    near = labelled.mapInArrow(lambda b: _packed(b, bits, reach), "label string, h bigint, features binary").toPandas()
+    near = near.sort_values(["h", "label", "features"])
+    near = near[near.groupby("label").cumcount() < near["label"].map(quota)]
+    names = list(near["label"])
     labels = sorted(set(names))
     if not labels:
         return Model([], bits, idf, np.zeros((1 << bits, 0), np.float32), np.zeros(0))
     y = np.array([labels.index(x) for x in names])
-    rows = [_weighted(x, idf) for x in sample["features"]]
-    held = np.arange(len(rows)) % 5 == 4
+    rows = [_weighted(x, idf) for x in near["features"]]
+    held = calibrates(names)
     weights, bias = ftrl([r for r, h in zip(rows, held) if not h], y[~held], len(labels), bits, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=epochs, batch=batch, seed=seed)
     model = Model(labels, bits, idf, weights, bias)
     if held.any():

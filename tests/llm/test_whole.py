@@ -73,3 +73,18 @@ def test_long_texts_are_learned_to_their_end(spark):
     texts = [("same opening of all texts " * 200 + w * 300, lang) for k in range(30) for w, lang in ((f"zweifellos zwischen {k} ", "de"), (f"beaucoup toujours {k} ", "fr"))]
     model = langid.train(spark.createDataFrame(texts, "text string, lang string"))
     assert model.predict(["zweifellos zwischen", "beaucoup toujours"])[0] == ["de", "fr"]
+
+
+def test_rare_labels_are_learned(spark):
+    rows = [(f"common words everywhere {k}{chr(97 + k % 26)}", "en") for k in range(3000)] + [(f"zweifellos zwischen {chr(97 + k)}", "de") for k in range(4)] + [("żółć gęślą", "pl")]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"), max_rows=100)
+    assert model.labels == ["de", "en", "pl"] and model.predict(["zweifellos zwischen", "common words"])[0] == ["de", "en"]
+
+
+def test_quotas():
+    assert langid.quotas({"a": 10, "b": 3}, 100) == {"a": 10, "b": 3}
+    got = langid.quotas({"a": 10**6, "b": 10**5, "c": 7, "d": 1}, 6000)
+    assert got["c"] == 7 and got["d"] == 1 and got["a"] > 8 * got["b"] and 5990 <= sum(got.values()) <= 6000
+    held = langid.calibrates([*"aaaaaaaaaa", *"bb", "c"])
+    assert held.tolist() == [False] * 4 + [True] + [False] * 4 + [True, False, True, False]
+    assert langid.quotas({}, 10) == {}
