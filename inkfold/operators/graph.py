@@ -36,11 +36,12 @@ def undirected_pairs(edges: DataFrame, known: DataFrame) -> DataFrame:
     return e.groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum("weight").alias("weight"))
 
 
-def label_propagation(pairs: DataFrame, rounds: int = 20) -> DataFrame:
+def label_propagation(pairs: DataFrame, rounds: int = 100) -> DataFrame:
     """``id, community``: synchronous, weighted, deterministic (a tie goes to the smallest label).
 
     A node also hears itself, with the weight of its strongest tie, so that two
-    nodes do not swap labels for ever.
+    nodes do not swap labels for ever.  It ends when no label moves; after ``rounds``
+    (the reference's 100 sweeps) the labels of the last round are returned.
     """
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "weight").unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "weight"))
     both = stored(both.unionByName(both.groupBy("u").agg(F.max("weight").alias("weight")).select("u", F.col("u").alias("v"), "weight")), "ties")
