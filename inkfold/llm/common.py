@@ -66,8 +66,24 @@ def drop(*frames: DataFrame | None) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker; Spark's own limit is eight times as much.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches be ``BATCH_BYTES`` at most, unless the session names a limit of its own.
+
+    Texts are long: a batch of Spark's default size is held several times over by
+    the executor and by its workers.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "67108864b") == "67108864b":
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str | None, *, null_text: str | None = "") -> DataFrame:
     """Columns ``id`` (bigint) and ``text`` only, without rows of null id."""
+    small_batches(df.sparkSession)
     cols = [F.col(f"`{id_col}`").cast("bigint").alias("id")]
     if text_col is not None:
         text = F.col(f"`{text_col}`").cast("string")

@@ -16,7 +16,10 @@ covers all rows, and texts are always whole.  What comes to the driver of a text
 
 Defined cases: a text that is null or has no letter gets ``und`` and score 0; a
 model without training rows gives ``und`` for every text; ties between classes
-go to the first in sorted order; repeated rows repeat.
+go to the first in sorted order; repeated rows repeat; long texts are read whole,
+a block at a time; an empty table gives no rows.  :func:`identify` keeps all columns
+of its input but those that have the names of its two results, which it replaces:
+choose other names where a table has them.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import trim
+from inkfold.llm.common import small_batches, trim
 
 UNDETERMINED = "und"
 _OTHER = re.compile(r"[\W\d_]+")
@@ -46,6 +49,8 @@ LEAST_ROWS = 50
 def letters(text: str | None) -> str:
     """Lower case, one space for each run without letters; empty if there is no letter."""
     out = _OTHER.sub(" ", text.lower()) if text else ""
+    if not out.isascii() and not out.replace(" ", "").isalpha():  # numerals such as ² and Ⅷ are no letters
+        out = " ".join("".join(c if c.isalpha() else " " for c in out).split())
     return out if out.strip() else ""
 
 
@@ -262,6 +267,7 @@ def train(df: DataFrame, text_col: str = "text", label_col: str = "lang", *, key
 
     Each fifth row of a label is kept from the weights and fits the temperature.
     """
+    small_batches(df.sparkSession)
     labelled = df.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{label_col}`").cast("string").alias("label"), F.xxhash64(key if key is not None else F.col(f"`{text_col}`")).alias("h")).where("text IS NOT NULL AND label IS NOT NULL")
     df_counts, n_docs, per_label = document_frequencies(labelled, bits)
     idf = np.log((1 + n_docs) / (1 + df_counts)).astype(np.float32) + 1
@@ -291,6 +297,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", lang_col: str
     The model (``2**bits`` rows, a fixed size) goes to the executors once, as a
     broadcast variable.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
     schema = df.drop(lang_col, score_col).schema.add(lang_col, "string").add(score_col, "double")

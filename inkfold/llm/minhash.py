@@ -2,10 +2,11 @@
 
 1. Row by row: the set of word shingles of the whole text, ``bands * rows``
    minima of universal hashes (multiply-add-shift), one key per band, and one bit
-   of each minimum as a signature.  Equal sets share a digest; from here on only
-   the smallest id of each digest (combined before the shuffle) takes part.
-2. Band keys with two or more ids are buckets.  A bucket never makes all its
-   pairs: first every member meets the bucket's smallest id.
+   of each minimum as a signature.  Equal sets share a digest; from here on each
+   different set takes part once, under a number of its own (combined before the
+   shuffle).
+2. Band keys with two or more sets are buckets.  A bucket never makes all its
+   pairs: first every member meets the bucket's smallest number.
 3. Pairs whose signatures agree well enough are confirmed on their full sets.
    Confirmed pairs are links; large-star and small-star join them to components.
 4. Only pairs in different components still matter.  The members of a bucket
@@ -20,7 +21,8 @@ With 32 bands of 4 rows a pair of similarity 0.8 shares no band with probability
 Defined cases: a text with fewer words than a shingle is one shingle of all its
 words; a text that is null or has no words has an empty set and is linked with
 nothing; rows without id are dropped; rows that repeat an id repeat in the
-result.
+result, each with the component of its own text; very long texts only make blocks
+of fewer sets; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import drop, keyed, release, written
+from inkfold.llm.common import drop, keyed, release, trim, written
 from inkfold.llm.components import components
 
 #: Bytes of text whose words are in memory at a time.
@@ -108,6 +110,10 @@ def minima(sets: list[np.ndarray], family: tuple[np.ndarray, np.ndarray]) -> np.
 SIGNATURES = "id bigint, n bigint, digest binary, bands array<bigint>, sketch array<bigint>"
 
 
+def _digest(items: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None
+
+
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int, smallest: int, seed: int) -> DataFrame:
     """``SIGNATURES`` of ``id, text`` rows; sets below ``smallest`` have no bands."""
 
@@ -117,7 +123,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int, smallest: i
         for batch in batches:
             for ids, texts in text_blocks(batch.column(0), batch.column(1)):
                 sets = shingle_sets(*word_hashes(texts), shingle)
-                digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                digest = [_digest(s) for s in sets]
                 big = [i for i, s in enumerate(sets) if len(s) >= smallest]
                 keys, sketch = [None] * len(sets), [None] * len(sets)
                 if big:
@@ -134,19 +140,22 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int, smallest: i
                     [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
                     ["id", "n", "digest", "bands", "sketch"],
                 )
+        trim()
 
     return docs.mapInArrow(run, SIGNATURES)
 
 
 def set_bytes(docs: DataFrame, shingle: int) -> DataFrame:
-    """``id, items``: the full set of each text as sorted 64-bit hashes."""
+    """``digest, items``: the full set of each text as sorted 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in text_blocks(batch.column(0), batch.column(1)):
-                yield pa.record_batch([ids, pa.array([s.tobytes() for s in shingle_sets(*word_hashes(texts), shingle)], pa.binary())], ["id", "items"])
+            for _, texts in text_blocks(batch.column(0), batch.column(1)):
+                sets = shingle_sets(*word_hashes(texts), shingle)
+                yield pa.record_batch([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "items"])
+        trim()
 
-    return docs.mapInArrow(run, "id bigint, items binary")
+    return docs.mapInArrow(run, "digest binary, items binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -157,9 +166,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
             good = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den) for x, y in zip(b.column(2), b.column(3))]
             mask = pa.array(good, pa.bool_())
             yield pa.record_batch([b.column(0).filter(mask), b.column(1).filter(mask)], ["u", "v"])
+        trim()
 
-    left = sets.select(F.col("id").alias("u"), F.col("items").alias("x"))
-    right = sets.select(F.col("id").alias("v"), F.col("items").alias("y"))
+    left = sets.select(F.col("rep").alias("u"), F.col("items").alias("x"))
+    right = sets.select(F.col("rep").alias("v"), F.col("items").alias("y"))
     return pairs.join(right, "v").join(left, "u").select("u", "v", "x", "y").mapInArrow(run, "u bigint, v bigint")
 
 
@@ -176,66 +186,83 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     kinds = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     kinds = written(kinds, "minhash-digests")
-    reps = signed.where("bands IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "bands", "sketch")).alias("r")).select("r.*")
-    reps = written(reps, "minhash-representatives")
-    keys = reps.select("id", F.explode("bands").alias("bucket"))
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where("size > 1")
-    members = written(keys.join(shared, "bucket").select("bucket", "id", "size", "pivot"), "minhash-buckets")
-
-    met = members.select("id").distinct()
-    sets = written(set_bytes(docs.join(met, "id", "left_semi").dropDuplicates(["id"]), shingle), "minhash-sets")
+    # Different sets are numbered: an id may stand for several of them.
+    reps = signed.where("bands IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "bands", "sketch")).alias("r"))
+    reps = written(reps.select(F.monotonically_increasing_id().alias("rep"), "digest", "r.*"), "minhash-representatives")
+    keys = reps.select("rep", F.explode("bands").alias("bucket"))
+    shared = keys.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
+    # Written first, so that a join by bucket is one of two plain exchanges, of which a large part can be split.
+    shared = written(shared, "minhash-shared")
+    members = written(keys.join(shared, "bucket").select("bucket", "rep", "size", "pivot"), "minhash-buckets")
+    drop(shared)
+
+    met = reps.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "digest", "id")
+    each = set_bytes(docs.join(met.select("id").distinct(), "id", "left_semi"), shingle)
+    sets = written(each.join(met.select("rep", "digest"), "digest").dropDuplicates(["rep"]).select("rep", "items"), "minhash-sets")
     release(spark)
-    sketches = reps.select("id", *(F.col("sketch")[k].alias(f"s{k}") for k in range(-(-bands * rows // 64))))
+    sketches = reps.select("rep", *(F.col("sketch")[k].alias(f"s{k}") for k in range(-(-bands * rows // 64))))
 
     def apart(a: str, b: str):
         return sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(1, -(-bands * rows // 64))), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
 
-    first = members.where("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v")).distinct()
-    near = first.join(sketches.alias("a"), F.col("u") == F.col("a.id")).join(sketches.alias("b"), F.col("v") == F.col("b.id")).where(apart("a", "b") <= far).select("u", "v")
+    first = members.where("rep <> pivot").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct()
+    near = first.join(sketches.alias("a"), F.col("u") == F.col("a.rep")).join(sketches.alias("b"), F.col("v") == F.col("b.rep")).where(apart("a", "b") <= far).select("u", "v")
     edges = written(_confirmed(near, sets, num, den), "minhash-links")
     label = components(edges, "minhash-components")
 
     # Buckets of two are settled; so is every bucket within one component.
-    placed = members.where("size > 2").select("bucket", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = members.where("size > 2").select("bucket", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     main = placed.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = written(placed.join(main, "bucket").select("main", "id", "component").distinct(), "minhash-open")
+    open_ = written(placed.join(main, "bucket").select("main", "rep", "component").distinct(), "minhash-open")
+    drop(members)
     more = written(_across(open_, sets, shingle_family=(bands, rows, seed), num=num, den=den), "minhash-links")
     release(spark)
     # What they join are whole components.
     joined = components(more, "minhash-joined").select(F.col("id").alias("component"), F.col("component").alias("whole"))
     label = label.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
     label = label.unionByName(joined.join(label.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("whole").alias("component")))
-    drop(sets, members, reps, open_, edges)
+    drop(sets, open_, edges)
 
-    placed = kinds.join(label, "id", "left").where("copies > 1 OR component IS NOT NULL").select("digest", F.coalesce("component", "id").alias("component"))
-    return signed.select("id", "n", "digest").join(placed, "digest", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    # Numbers become ids: a component is named by the smallest id of all its sets.
+    named = written(label.select(F.col("id").alias("rep"), "component").join(reps.select("rep", "digest", "id"), "rep"), "minhash-named")
+    least = named.groupBy("component").agg(F.min("id").alias("least"))
+    named = named.join(least, "component").select("digest", F.col("least").alias("component"))
+    placed = kinds.join(named, "digest", "left").where("copies > 1 OR component IS NOT NULL").select("digest", F.coalesce("component", "id").alias("component"))
+    alone = signed.where("digest IS NULL").select("id", "n", F.col("id").alias("component"))
+    known = signed.where("digest IS NOT NULL").select("id", "n", "digest").join(placed, "digest", "left")
+    return known.select("id", "n", F.coalesce("component", "id").alias("component")).unionByName(alone)
 
 
-#: Rows of a component, and ids outside it, that meet in one task.
-BLOCK = 1000
+#: Sets of a component, and sets outside it, that meet in one task: so many, and about so many bytes of each.
+BLOCK, BLOCK_SETS = 1000, 32 << 20
 
 
 def _across(open_: DataFrame, sets: DataFrame, shingle_family: tuple[int, int, int], num: int, den: int) -> DataFrame:
     """Links ``u, v`` between components: those that hold, not one pair more than joins them.
 
-    ``open_`` has ``main, id, component``: the ids that share a bucket with
-    component ``main``, its own and others.  Every other id meets every id of the
-    same ``main``, in blocks of ``BLOCK`` by ``BLOCK``.  A task takes the most
-    similar signatures first and skips pairs that its links have joined already.
-    ``u`` and ``v`` are components.
+    ``open_`` has ``main, rep, component``: the sets that share a bucket with
+    component ``main``, its own and others.  Every other set meets every set of the
+    same ``main``, in blocks of ``BLOCK`` by ``BLOCK``, fewer where sets are large.
+    A task takes the most similar signatures first and skips pairs that its links
+    have joined already.  ``u`` and ``v`` are components.
     """
     bands, rows, seed = shingle_family
     need = bands * rows - _farthest(bands * rows, num / den, 1)
-    size = open_.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.ceil(F.count_if(F.col("component") != F.col("main")) / BLOCK).cast("int").alias("turns"))
-    full = open_.join(size, "main").join(sets, "id")
-    part = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
-    held = full.select("main", part("parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "id", "component", "items", F.lit(False).alias("outside"))
-    asked = full.where("component <> main").select("main", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), part("turns").alias("turn"), "id", "component", "items", F.lit(True).alias("outside"))
+    outside = F.col("component") != F.col("main")
+    # Written first: what joins by component are plain exchanges, of which a large part can be split.
+    full = written(open_.join(sets, "rep"), "minhash-open-sets")
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_SETS)).cast("int")
+    sized = full.select("main", outside.alias("outside"), F.length("items").cast("bigint").alias("bytes"))
+    size = sized.groupBy("main").agg(blocks(F.count("*"), F.sum("bytes")).alias("parts"), blocks(F.count_if("outside"), F.coalesce(F.sum(F.when(F.col("outside"), F.col("bytes"))), F.lit(0))).alias("turns"))
+    full = full.join(written(size, "minhash-sizes"), "main")
+    part = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
+    held = full.select("main", part("parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "rep", "component", "items", F.lit(False).alias("outside"))
+    asked = full.where(outside).select("main", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), part("turns").alias("turn"), "rep", "component", "items", F.lit(True).alias("outside"))
 
     def compare(table: pa.Table) -> pa.Table:
         flag = table.column("outside").to_numpy()
         items = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("items")]
-        ids, label = table.column("id").to_numpy(), table.column("component").to_numpy()
+        label = table.column("component").to_numpy()
         own, other = np.flatnonzero(flag), np.flatnonzero(~flag)
         names, node = np.unique(label, return_inverse=True)
         root, found = np.arange(len(names)), []
@@ -253,6 +280,7 @@ def _across(open_: DataFrame, sets: DataFrame, shingle_family: tuple[int, int, i
                         root[root == b] = a
                         found.append((names[node[i]], names[node[j]]))
         u, v = zip(*found) if found else ([], [])
+        trim()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return held.unionByName(asked).groupBy("main", "part", "turn").applyInArrow(compare, "u bigint, v bigint")

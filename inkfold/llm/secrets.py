@@ -34,7 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from inkfold.llm.common import keyed
+from inkfold.llm.common import keyed, small_batches, trim
 
 #: The kinds in the order in which they are listed, with their patterns.
 KINDS = ("assign", "access", "hex")
@@ -362,6 +362,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maybe = pc.match_substring_regex(b.column(1), _MAYBE)
         spans = [[{"kind": KINDS[k], "start": a, "end": e, "base": is_base} for a, k, e, is_base in scan_text(t)] if m else [] for t, m in zip(b.column(1).to_pylist(), maybe.to_pylist())]
         yield pa.record_batch([b.column(0), pa.array(spans, _SPAN)], ["id", "spans"])
+    trim()
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -388,6 +389,7 @@ def redact(text: str) -> str:
 
 def redacted(df: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns of ``df``, with the secrets cut out of the text; null stays null."""
+    small_batches(df.sparkSession)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,5 +398,6 @@ def redacted(df: DataFrame, text_col: str = "text") -> DataFrame:
             maybe = pc.fill_null(pc.match_substring_regex(col, _MAYBE), False).to_pylist()
             texts = [redact(t) if m else t for t, m in zip(col.to_pylist(), maybe)]
             yield pa.record_batch([pa.array(texts, col.type) if i == at else c for i, c in enumerate(b.columns)], schema=b.schema)
+        trim()
 
     return df.mapInArrow(run, df.schema)

@@ -16,14 +16,23 @@ Forward state of a prefix
   merged alone; exactly one piece is admissible for each prefix, and the path of
   admissible steps is the encoding.  Tests hold both against the library.
 
+Words that start with several marks (BPE models) are merged whole; texts with
+double spaces, marks of their own or a leading space are cut into words one by one
+instead of all at once.  Both give the library's ids.
+
 Defined cases: null or empty text has no ids; characters without a piece become
 byte pieces (or the unknown piece where the model has none); decoding restores
-the text, except that a literal U+2581 comes back as a space, as in the library.
+the text, except that a literal U+2581 comes back as a space, as in the library;
+of segmentations with equal scores (unigram models) the one whose last piece is
+longest is taken, where the library's choice hangs on its rounding; memory grows
+with a word's length, not with its square; rows without id are dropped, repeated
+rows repeat; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -39,7 +48,7 @@ from inkfold.llm.common import keyed, trim
 
 MARK = "▁"
 #: Texts of one trie: about so many characters, a bound on a worker's memory.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 3_000_000
 #: Judgements of piece pairs that a worker remembers: about 100 bytes each.
 REMEMBERED = 300_000
 
@@ -227,29 +236,38 @@ def _splitter(cuts: str) -> re.Pattern:
     return re.compile(f"{MARK}*[^{MARK}{c}]+|{MARK}+" + (f"|[{c}]" if cuts else ""))
 
 
-def encode_words(m: Model, words: list[str]) -> list[tuple[int, ...]]:
-    """Ids of each of the distinct ``words``, by one depth-first walk of their trie.
+def encode_words(m: Model, words: list[str]) -> tuple[list[int], list[int], list[int]]:
+    """Ids of the distinct ``words`` end to end, where each begins and how many it has, by one depth-first walk of their trie.
 
-    For each prefix of the current word the stack holds the automaton's state,
-    the piece that ends there (-1: none), its score, and the ids so far.
+    For each prefix of the current word the stack holds the automaton's state, the
+    piece that ends there (-1: a character without one), where that piece begins,
+    and its forward score.  The ids of a word are read from its end backwards, so
+    memory is a few numbers for each character of one word, however long it is.
     """
     order = sorted(range(len(words)), key=words.__getitem__)
-    out: list[tuple[int, ...]] = [()] * len(words)
+    out: list[int] = []
+    start, count = [0] * len(words), [0] * len(words)
     last = ""
-    states, ends, best, paths = [0], [-1], [0.0], [()]
+    states, ends, back, best = [0], [-1], [0], [0.0]
     following, ending, fitting, merges = m.next, m.ending, m.fitting, m.merges
     floor = min(m.score.values(), default=0.0) - 10.0
     for at_word in order:
-        word = words[at_word]
+        word, first = words[at_word], len(out)
+        start[at_word] = first
         if merges and word.startswith(MARK + MARK):
             # Equal scores of pieces of marks are joined leftmost first, which is
             # not a property of prefixes: such a word is merged as a whole.
-            out[at_word] = tuple(i for p in m.merge(word) for i in m.piece_ids(p))
+            for p in m.merge(word):
+                out += m.piece_ids(p)
+            count[at_word] = len(out) - first
             continue
         n, most, keep = len(word), min(len(word), len(last)), 0
-        while keep < most and word[keep] == last[keep]:
-            keep += 1
-        del states[keep + 1 :], ends[keep + 1 :], best[keep + 1 :], paths[keep + 1 :]
+        if n > 64 and last.startswith(word[:64]):
+            keep = len(os.path.commonprefix((word, last)))
+        else:
+            while keep < most and word[keep] == last[keep]:
+                keep += 1
+        del states[keep + 1 :], ends[keep + 1 :], back[keep + 1 :], best[keep + 1 :]
         last, at = word, states[keep]
         for i in range(keep + 1, n + 1):
             c = word[i - 1]
@@ -265,22 +283,29 @@ def encode_words(m: Model, words: list[str]) -> list[tuple[int, ...]]:
                         good = m.judge(left, piece)
                     if good:
                         ends.append(piece)
-                        paths.append((*paths[k], piece))
+                        back.append(k)
                         break
                 else:
                     ends.append(-1)
-                    paths.append((*paths[i - 1], *m.piece_ids(c)))
+                    back.append(i - 1)
             else:
-                top, end, path = best[i - 1] + floor, -1, None
+                top, end, begin, some = best[i - 1] + floor, -1, i - 1, False
                 for piece, size in ending[at]:
                     s = best[i - size] + m.score[m.pieces[piece]]
-                    if s > top or path is None and s >= top:
-                        top, end, path = s, piece, (*paths[i - size], piece)
+                    if s > top or not some and s >= top:
+                        top, end, begin, some = s, piece, i - size, True
                 ends.append(end)
+                back.append(begin)
                 best.append(top)
-                paths.append(path if path is not None else (*paths[i - 1], *m.piece_ids(c)))
-        out[at_word] = paths[n]
-    return out
+        while n:
+            if ends[n] >= 0:
+                out.append(ends[n])
+            else:
+                out += m.piece_ids(word[n - 1])[::-1]
+            n = back[n]
+        out[first:] = out[:first - 1 if first else None:-1]
+        count[at_word] = len(out) - first
+    return out, start, count
 
 
 def indexed(m: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -305,22 +330,16 @@ def indexed(m: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarr
     return words, codes, sizes
 
 
-def gathered(lists: list[tuple[int, ...]], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lists that the codes name, end to end, and the length of each."""
-    size = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat = np.fromiter((x for ids in lists for x in ids), np.int32, int(size.sum()))
-    start = np.cumsum(size) - size
-    n = size[codes]
-    first = np.cumsum(n) - n
-    return flat[np.repeat(start[codes] - first, n) + np.arange(int(n.sum()))], n
-
-
 def encode_texts(m: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, and offsets; the distinct words of all share one trie."""
     words, codes, sizes = indexed(m, texts)
-    ids, n = gathered(encode_words(m, words), codes) if len(codes) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-    ends = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(sizes)))]
-    return ids, ends
+    flat, start, n = (np.array(x, np.int64) for x in encode_words(m, words))
+    n = n[codes] if len(codes) else codes.astype(np.int64)
+    ends = np.cumsum(n)
+    where = np.repeat(start[codes] - ends + n, n) if len(codes) else codes.astype(np.int64)
+    where += np.arange(len(where))
+    edge = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))]
+    return flat[where].astype(np.int32), edge
 
 
 def decode_ids(m: Model, ids) -> str:
@@ -369,6 +388,7 @@ def _decode(path: str):
             texts = [decode_ids(m, flat[x:y].tolist()) for x, y in zip(at[:-1], at[1:])]
             crc = [zlib.crc32(flat[x:y].astype("<u4").tobytes()) for x, y in zip(at[:-1], at[1:])]
             yield pa.record_batch([b.column(0), pa.array(texts, pa.string()), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], ["id", "text", "n_ids", "ids_crc32"])
+        trim()
 
     return run
 
