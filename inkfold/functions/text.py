@@ -54,6 +54,15 @@ def snippet(text: Column, needle: Column, around: int = 90) -> Column:
     return F.trim(F.regexp_replace(F.substring(text, start, at - start + F.length(needle) + around), r"\s+", " "))
 
 
+def boilerplate(text: Column) -> Column:
+    """Whether a paragraph is no prose: empty, a widget's word, a reading time, a date, or short and without a stop."""
+    t = F.trim(text)
+    low = F.lower(t)
+    widget = low.isin("share", "copied", "tags", "written by", "subscribe", "sign up", "listen") | low.startswith("listen")
+    number = low.rlike(r"^\d+\s*minutes?( read)?$") | low.rlike(r"^[a-z]+\.?\s+\d{1,2},?\s+\d{4}$")
+    return (t == "") | widget | number | ((F.length(t) < 100) & ~t.rlike("[.!?]") & ~t.rlike(r"^[-‐-―]\s*\S"))
+
+
 def slug(text: Column, most: int = 40) -> Column:
     """Runs of what is not a-z or 0-9 become one underscore; ends trimmed."""
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), "^_|_$", ""), 1, most)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from inkfold.functions import text as X
 from inkfold.operators import coding, html
 from inkfold.plans.registry import query
 from inkfold.sources import files
@@ -17,14 +18,34 @@ def pages(spark, d):
     return table(spark, d, "pages")
 
 
-@query("e01_html_blocks")
+_CLEAN_SQL = r"(SELECT page_id, regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<nav.*?</nav>|<footer.*?</footer>', '', 'g') AS h FROM pages)"
+_TEXT_SQL = r"trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))"
+#: What the rules of the HTML walk call boilerplate, in SQL.
+_DULL_SQL = r"({t} = '' OR lower({t}) IN ('share', 'copied', 'tags', 'written by', 'subscribe', 'sign up', 'listen') OR starts_with(lower({t}), 'listen') OR regexp_matches(lower({t}), '^\d+\s*minutes?( read)?$') OR regexp_matches(lower({t}), '^[a-z]+\.?\s+\d{{1,2}},?\s+\d{{4}}$') OR (length({t}) < 100 AND NOT regexp_matches({t}, '[.!?]') AND NOT regexp_matches({t}, '^[-‐-―]\s*\S')))"
+#: The walk over these pages, in which paragraphs follow the only h1; an unclosed bold paragraph is bold to its end.
+PAGE_BLOCKS_SQL = rf"""(WITH title AS (SELECT page_id, {_TEXT_SQL.format(x="regexp_extract(h, '(?s)<h1[^>]*>(.*?)</h1>', 1)")} AS title, regexp_extract(h, '(?s)</h1>(.*)$', 1) AS rest FROM {_CLEAN_SQL}
+), raw AS (SELECT page_id, title, unnest(string_split(rest, '<p>')) AS x, generate_subscripts(string_split(rest, '<p>'), 1) AS k FROM title
+), par AS (SELECT page_id, title, k, starts_with(x, '<b>') AND (NOT contains(x, '</b>') OR regexp_matches(x, '(?s)</b>\s*(</p>|$)')) AS bold, {_TEXT_SQL.format(x="regexp_extract(x, '(?s)^(.*?)(</p>|</article>|$)', 1)")} AS text FROM raw WHERE k > 1
+), said AS (SELECT *, count(*) OVER (PARTITION BY page_id, text) >= 2 AND length(text) < 150 AS often, bold AND length(text) < 100 AND NOT regexp_matches(text, '[.!?]$') AS head FROM par WHERE text <> ''
+), kept AS (SELECT page_id, 0 AS k, 'title' AS position, title AS text FROM title WHERE title <> '' UNION ALL
+  SELECT page_id, k, CASE WHEN head THEN 'section_heading' ELSE 'body' END, text FROM said WHERE head OR NOT ({_DULL_SQL.format(t="text")} OR text = title OR often)
+) SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INTEGER) AS ord, position, text,
+  CASE WHEN position = 'body' THEN coalesce(last_value(CASE WHEN position = 'section_heading' THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS path FROM kept)"""
+
+
+def page_blocks(spark, d):
+    return html.parse_pages(pages(spark, d)).select("page_id", "ord", "position", F.array_join("heading_path", " > ").alias("path"), "text")
+
+
+@query("e01_html_blocks", f"SELECT page_id, ord, position, path, md5(text) AS text_md5 FROM {PAGE_BLOCKS_SQL}")
 def e01(spark, d):
-    return html.parse_pages(pages(spark, d))
+    return page_blocks(spark, d).select("page_id", "ord", "position", "path", F.md5("text").alias("text_md5"))
 
 
-@query("e02_container_choice", r"SELECT page_id, contains(html, '<article') AS has_article, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs FROM pages")
+@query("e02_container_choice", rf"SELECT page_id, CASE WHEN inner_n >= 3 THEN 'article' ELSE 'body' END AS root, CASE WHEN inner_n >= 3 THEN inner_n ELSE n END AS n FROM (SELECT page_id, len(regexp_extract_all(h, '<(p|li)[ >]')) AS n, len(regexp_extract_all(regexp_extract(h, '(?s)<article[^>]*>(.*?)</article>', 1), '<(p|li)[ >]')) AS inner_n FROM {_CLEAN_SQL})")
 def e02(spark, d):
-    return pages(spark, d).select("page_id", F.col("html").contains("<article").alias("has_article"), F.regexp_count("html", F.lit("<p[ >]")).cast("bigint").alias("paragraphs"))
+    """The first main or article with three paragraphs or list items, else the body."""
+    return html.roots(pages(spark, d))
 
 
 @query("e03_title", r"SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g')), ''), nullif(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), ''), CAST(page_id AS VARCHAR)) AS title FROM pages")
@@ -34,33 +55,67 @@ def e03(spark, d):
     return pages(spark, d).select("page_id", F.coalesce(h1, blank(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)), F.col("page_id").cast("string")).alias("title"))
 
 
-@query("e04_heading_path", f"SELECT doc_id, ord, last_value(CASE WHEN position = 'section_heading' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM {BLOCKS_SQL}")
-def e04(spark, d):
-    """The nearest heading above each line."""
-    w = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    above = F.last(F.when(F.col("position") == "section_heading", F.col("text")), ignorenulls=True).over(w)
-    return blocks(documents(spark, d)).select("doc_id", "ord", above.alias("above"))
+def line_pages(spark, d, end: str | None = None):
+    """Documents as pages: the first line is the title, short lines are headings of two levels, lines with a quotation mark quotations.
 
+    A line after a quotation is written as its attribution.  ``end`` names a line
+    that becomes a heading at which articles end.
+    """
+    plain = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    quoted = lambda x: x.contains('"') & (F.length(x) > 30)
+    put = lambda tag, x: F.concat(F.lit(f"<{tag}>"), plain(x), F.lit(f"</{tag}>"))
+    lines = F.split("text", "\n")
 
-@query("e05_block_classes", f"SELECT position, count(*) AS n FROM {BLOCKS_SQL} GROUP BY position")
-def e05(spark, d):
-    return blocks(documents(spark, d)).groupBy("position").agg(F.count("*").alias("n"))
+    def element(x, i):
+        before = F.get(lines, i - 1)
+        stop = F.lit(False) if end is None else x == end
+        attribution = (i > 1) & quoted(before) & (F.trim(x) != "")
+        return F.when(i == 0, put("h1", x)).when(stop, F.lit("<h2>Read more</h2>")).when(quoted(x), put("blockquote", x)).when(attribution, put("p", F.concat(F.lit("— "), x))).when(F.length(x) <= 15, put("h3", x)).when(F.length(x) <= 30, put("h2", x)).otherwise(put("p", x))
 
+    return documents(spark, d).select(F.col("doc_id").alias("page_id"), F.array_join(F.transform(lines, element), "").alias("html"))
 
-_BOILER = r"^(listen|share|menu|licensed|released)|^[0-9]+ minutes$|^[0-9]{1,2} [A-Z][a-z]+ [0-9]{4}$"
+
+def _line_blocks_sql(end: str | None = None) -> str:
+    """The rules of the walk, stated over lines."""
+    stop = f"raw = '{end}'" if end else "false"
+    return rf"""(WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents
+), t AS (SELECT *, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS text, contains(raw, '"') AND length(raw) > 30 AS q, lag(contains(raw, '"') AND length(raw) > 30) OVER (PARTITION BY doc_id ORDER BY k) AS after_q FROM l
+), e AS (SELECT doc_id, k, CASE WHEN k = 0 THEN 'h1' WHEN {stop} THEN 'stop' WHEN q THEN 'quotation' WHEN k > 1 AND after_q AND text <> '' THEN 'attribution' WHEN length(raw) <= 15 THEN 'h3' WHEN length(raw) <= 30 THEN 'h2' ELSE 'p' END AS tag, text FROM t WHERE text <> ''
+), o AS (SELECT *, count(*) FILTER (tag = 'p') OVER (PARTITION BY doc_id, text) AS n, count(*) FILTER (tag IN ('h1', 'h2', 'h3')) OVER (PARTITION BY doc_id, text) AS heads, min(CASE WHEN tag = 'stop' THEN k END) OVER (PARTITION BY doc_id) AS stops FROM e
+), b AS (SELECT doc_id, k, tag, CASE WHEN tag = 'quotation' AND lead(tag) OVER w = 'attribution' THEN text || ' — ' || lead(text) OVER w ELSE text END AS text, n, heads FROM o WHERE stops IS NULL OR k < stops WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+), m AS (SELECT * FROM b WHERE tag IN ('h1', 'h2', 'h3', 'quotation') OR tag = 'p' AND NOT ({_DULL_SQL.format(t="text")} OR regexp_matches(text, '^[-‐-―]\s*\S') OR heads > 0 OR n >= 2 AND length(text) < 150)
+), h AS (SELECT *, max(CASE WHEN tag = 'h2' THEN k END) OVER u AS k2, max(CASE WHEN tag = 'h3' THEN k END) OVER u AS k3, last_value(CASE WHEN tag = 'h2' THEN text END IGNORE NULLS) OVER u AS t2, last_value(CASE WHEN tag = 'h3' THEN text END IGNORE NULLS) OVER u AS t3 FROM m WINDOW u AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS ord, CASE tag WHEN 'h1' THEN 'title' WHEN 'h2' THEN 'section_heading' WHEN 'h3' THEN 'section_heading' WHEN 'p' THEN 'body' ELSE tag END AS position, text,
+  CASE WHEN tag IN ('h1', 'h2') THEN '' ELSE concat_ws(' > ', t2, CASE WHEN tag <> 'h3' AND k3 > coalesce(k2, -1) THEN t3 END) END AS path FROM h)"""
+
+
+def line_blocks(spark, d, end: str | None = None):
+    b = html.parse_pages(line_pages(spark, d, end))
+    return b.select(F.col("page_id").alias("doc_id"), "ord", "position", F.array_join("heading_path", " > ").alias("path"), "text")
+
+
+@query("e04_heading_path", f"SELECT doc_id, ord, path FROM {_line_blocks_sql()}")
+def e04(spark, d):
+    """The stack of headings above each block: a heading ends those of its level and below."""
+    return line_blocks(spark, d).select("doc_id", "ord", "path")
 
 
-@query("e06_boilerplate_filter", rf"SELECT doc_id, ord FROM {BLOCKS_SQL} WHERE NOT regexp_matches(lower(text), '{_BOILER}') AND NOT (length(text) < 100 AND NOT regexp_matches(text, '[.!?]'))")
+@query("e05_block_classes", f"SELECT doc_id, position, count(*) AS n FROM {_line_blocks_sql()} GROUP BY doc_id, position")
+def e05(spark, d):
+    return line_blocks(spark, d).groupBy("doc_id", "position").agg(F.count("*").alias("n"))
+
+
+@query("e06_boilerplate_filter", rf"SELECT doc_id, ord FROM {BLOCKS_SQL} WHERE NOT {_DULL_SQL.format(t='text')}")
 def e06(spark, d):
-    b = blocks(documents(spark, d))
-    return b.where(~F.lower("text").rlike(_BOILER) & ~((F.length("text") < 100) & ~F.col("text").rlike("[.!?]"))).select("doc_id", "ord")
+    return blocks(documents(spark, d)).where(~X.boilerplate(F.col("text"))).select("doc_id", "ord")
 
 
-@query("e07_stop_at_boilerplate", f"SELECT doc_id, ord FROM (SELECT *, max(CASE WHEN position = 'section_heading' AND ord > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS stopped FROM {BLOCKS_SQL}) WHERE stopped = 0")
+@query("e07_stop_at_boilerplate", f"SELECT doc_id, count(*) AS n, md5(string_agg(text, ' ' ORDER BY ord)) AS text_md5 FROM {_line_blocks_sql('All rights reserved.')} GROUP BY doc_id")
 def e07(spark, d):
-    w = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    stopped = F.max(((F.col("position") == "section_heading") & (F.col("ord") > 3)).cast("int")).over(w)
-    return blocks(documents(spark, d)).withColumn("stopped", stopped).where("stopped = 0").select("doc_id", "ord")
+    """What follows a heading such as "Read more" belongs to other articles."""
+    b = line_blocks(spark, d, "All rights reserved.")
+    per = b.groupBy("doc_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("t"))
+    return per.select("doc_id", "n", F.md5(F.array_join(F.transform("t", lambda x: x["text"]), " ")).alias("text_md5"))
 
 
 @query("e08_links", "SELECT page_id, link, CASE WHEN ends_with(lower(link), '.pdf') THEN 'pdf' ELSE 'html' END AS kind FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS link FROM pages)")
@@ -81,43 +136,67 @@ def e10(spark, d):
     return b.where("position <> 'section_heading'").join(heads, ["doc_id", "text"], "left_anti").select("doc_id", "ord")
 
 
-@query("e11_quotations", r"SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, '[A-Z][^.]{20,}\.') AND regexp_matches(lower(text), 'que|die|the')")
+_SAYING = ("token", "password", "secret", "key")
+
+
+@query("e11_quotations", "SELECT doc_id, ord FROM " + BLOCKS_SQL + r""" WHERE regexp_matches(text, '[“”"][^“”"]{20,}[“”"]') AND regexp_matches(text, '(?i)\b(token|password|secret|key)\b')""")
 def e11(spark, d):
-    return table(spark, d, "conversations").where(F.col("text").rlike(r"[A-Z][^.]{20,}\.") & F.lower("text").rlike("que|die|the")).select("conv_id", "turn")
+    """A quoted span of 20 characters, and a verb: here the words that these tables quote after."""
+    said = r"(?i)\b(" + "|".join(_SAYING) + r")\b"
+    return blocks(documents(spark, d)).where(F.col("text").rlike(r'[“”"][^“”"]{20,}[“”"]') & F.col("text").rlike(said)).select("doc_id", "ord")
 
 
-@query("e13_attribution_merge", f"SELECT doc_id, grp, count(*) AS n, md5(string_agg(text, ' ' ORDER BY ord)) AS text_md5 FROM (SELECT *, CAST(sum(CASE WHEN length(text) > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS BIGINT) AS grp FROM {BLOCKS_SQL}) GROUP BY doc_id, grp")
+@query("e13_attribution_merge", f"SELECT doc_id, ord, md5(text) AS text_md5 FROM {_line_blocks_sql()} WHERE position = 'quotation'")
 def e13(spark, d):
-    """Short lines join the longer one before them."""
-    w = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    b = blocks(documents(spark, d)).withColumn("grp", F.sum((F.length("text") > 30).cast("int")).over(w))
-    per = b.groupBy("doc_id", "grp").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("t"))
-    return per.select("doc_id", "grp", "n", F.md5(F.array_join(F.transform("t", lambda x: x["text"]), " ")).alias("text_md5"))
+    """Quotations with the attribution line that follows them."""
+    return line_blocks(spark, d).where("position = 'quotation'").select("doc_id", "ord", F.md5("text").alias("text_md5"))
 
 
-@query("e18_publication_date", r"SELECT doc_id, strftime(try_strptime(regexp_extract('Published ' || day(date) || ' ' || monthname(date) || ' ' || year(date), 'Published (\d+ \w+ \d{4})', 1), '%d %B %Y'), '%Y-%m-%d') AS published FROM " + MANIFEST_SQL)
+@query("e18_publication_date", "SELECT doc_id, CASE WHEN genre = 'es' THEN NULL ELSE strftime(date, '%Y-%m-%d') END AS published FROM " + MANIFEST_SQL)
 def e18(spark, d):
-    said = F.concat(F.lit("Published "), F.date_format("date", "d MMMM yyyy"))
-    found = F.regexp_extract(said, r"Published (\d+ \w+ \d{4})", 1)
-    return manifest(spark, d).select("doc_id", F.date_format(F.try_to_timestamp(found, F.lit("d MMMM yyyy")), "yyyy-MM-dd").alias("published"))
+    """Dates as pages give them: a meta tag, a time element, a sentence, or not at all."""
+    iso, said = F.date_format("date", "yyyy-MM-dd"), F.date_format("date", "d MMMM yyyy")
+    meta = F.concat(F.lit('<head><meta content="'), iso, F.lit('T10:00:00Z" property="article:published_time"></head>'))
+    time = F.concat(F.lit('<p>On <time class="x" datetime="'), iso, F.lit('">'), said, F.lit("</time></p>"))
+    text = F.concat(F.lit("<p>Published: <b>"), said, F.lit("</b> by us</p>"))
+    page = F.when(F.col("genre") == "en", meta).when(F.col("genre") == "de", time).when(F.col("genre") == "fr", text).otherwise(F.lit("<p>Published some time ago</p>"))
+    return manifest(spark, d).select("doc_id", html.publication_date(page).alias("published"))
 
 
-@query("a13_tiered_fallback", "SELECT page_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY tier) AS k FROM (SELECT page_id, 1 AS tier FROM pages WHERE length(html) > 4000 UNION ALL SELECT page_id, 2 FROM pages WHERE contains(html, '<h1') UNION ALL SELECT page_id, 3 FROM pages)) WHERE k = 1")
+_ARTICLE = r"(?s)<article[^>]*>(.*?)</article>"
+
+
+@query("a13_tiered_fallback", rf"SELECT page_id, CASE WHEN length(a) >= 2000 THEN 'article' WHEN length(p) >= 1000 THEN 'paragraphs' ELSE 'title' END AS tier, md5(CASE WHEN length(a) >= 2000 THEN a WHEN length(p) >= 1000 THEN p ELSE t END) AS content_md5 FROM (SELECT page_id, regexp_extract(html, '{_ARTICLE}', 1) AS a, array_to_string(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1), ' ') AS p, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS t FROM pages)")
 def a13(spark, d):
-    """The first tier whose content is good enough: one pass, no candidate rows."""
-    return pages(spark, d).select("page_id", F.when(F.length("html") > 4000, 1).when(F.col("html").contains("<h1"), 2).otherwise(3).alias("tier"))
+    """The first source whose content is good enough, and where it came from: one pass, no candidate rows."""
+    h = F.col("html")
+    tiers = {"article": (F.regexp_extract(h, _ARTICLE, 1), 2000), "paragraphs": (F.array_join(F.regexp_extract_all(h, F.lit(r"(?s)<p>(.*?)</p>"), F.lit(1)), " "), 1000), "title": (F.regexp_extract(h, r"(?s)<title>(.*?)</title>", 1), 0)}
+    return pages(spark, d).select("page_id", files.first_tier(tiers).alias("t")).select("page_id", "t.tier", F.md5("t.content").alias("content_md5"))
+
 
+_LINKS_SQL = """(SELECT p.page_id, p.url, length(p.html) AS n, l.k, l.link FROM pages p LEFT JOIN (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS k FROM pages) l USING (page_id))"""
 
-@query("a14_thin_page_resolution", "SELECT page_id, CASE WHEN length(html) < 3000 THEN coalesce((regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))[1], url) ELSE url END AS target FROM pages")
+
+@query("a14_thin_page_resolution", f"""SELECT page_id, coalesce(CASE WHEN max(n) < 3000 THEN arg_min(link, k) FILTER (good) END, CASE WHEN max(n) < 3000 THEN arg_min(link, k) FILTER (ends_with(lower(link), '.pdf')) END, max(url)) AS target
+ FROM (SELECT x.*, EXISTS (SELECT 1 FROM documents d WHERE d.n_chars >= 500 AND x.link = '/' || regexp_extract(d.text, '^\\S+', 0)) AS good FROM {_LINKS_SQL} x) GROUP BY page_id""")
 def a14(spark, d):
-    first = F.get(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)), F.lit(0))
-    return pages(spark, d).select("page_id", F.when(F.length("html") < 3000, F.coalesce(first, F.col("url"))).otherwise(F.col("url")).alias("target"))
+    """A thin landing page stands for the first linked document with content, else its first PDF, else itself.
+
+    Documents are named by their first word here.
+    """
+    p = pages(spark, d).select("page_id", "url", (F.length("html") < 3000).alias("thin"), F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)).alias("links"))
+    with_content = documents(spark, d).where("n_chars >= 500").select(F.concat(F.lit("/"), F.regexp_extract("text", r"^\S+", 0)).alias("link")).distinct()
+    links = p.where("thin").select("page_id", F.posexplode("links").alias("k", "link"))
+    good = links.join(with_content, "link", "left_semi").groupBy("page_id").agg(F.min_by("link", "k").alias("good"))
+    pdf = F.get(F.filter("links", lambda x: F.lower(x).endswith(".pdf")), F.lit(0))
+    return p.join(good, "page_id", "left").select("page_id", F.coalesce("good", F.when(F.col("thin"), pdf), "url").alias("target"))
 
 
-@query("a15_archive_status", "SELECT page_id, CASE WHEN page_id % 2 = 0 AND contains(url, 'page=') THEN 'ok' WHEN page_id % 2 = 0 THEN 'partial' ELSE 'failed' END AS status FROM pages")
+@query("a15_archive_status", "SELECT page_id, CASE WHEN contains(url, '?') AND contains(url, '#') THEN 'ok' WHEN contains(url, '?') OR contains(url, '#') THEN 'partial' ELSE 'failed' END AS status FROM pages")
 def a15(spark, d):
-    even = F.col("page_id") % 2 == 0
-    return pages(spark, d).select("page_id", F.when(even & F.col("url").contains("page="), "ok").when(even, "partial").otherwise("failed").alias("status"))
+    """Two snapshots are ok, one is partial, none is failed; here a query and a fragment stand for them."""
+    old, new = (F.col("url").contains(c).cast("int") for c in "?#")
+    return pages(spark, d).select("page_id", F.element_at(F.array(F.lit("failed"), F.lit("partial"), F.lit("ok")), old + new + 1).alias("status"))
 
 
 # --- sources and sinks ---------------------------------------------------------------
@@ -217,22 +296,22 @@ def b10(spark, d):
 def tasks(spark, d):
     """Units x questions; the questions are a fixed catalogue."""
     questions = spark.createDataFrame([("public", "Find the word public"), ("license", "Find the word license")], "question string, prompt string")
-    units = documents(spark, d).where("lang = 'en'").select(F.format_string("%d::full", "doc_id").alias("unit_id"), F.col("text").alias("passage"))
+    units = documents(spark, d).select(F.format_string("%d::full", "doc_id").alias("unit_id"), F.col("text").alias("passage"))
     return units.crossJoin(F.broadcast(questions))
 
 
-@query("h02_coding_function", "SELECT printf('%d::full', doc_id) AS unit_id, w AS question, contains(lower(text), w) AS applies, CASE WHEN contains(lower(text), w) THEN substr(text, instr(lower(text), w), length(w)) END AS quote FROM documents, (VALUES ('public'), ('license')) t(w) WHERE lang = 'en'")
+@query("h02_coding_function", "SELECT printf('%d::full', doc_id) AS unit_id, w AS question, contains(lower(text), w) AS applies, CASE WHEN contains(lower(text), w) THEN substr(text, instr(lower(text), w), length(w)) END AS quote FROM documents, (VALUES ('public'), ('license')) t(w)")
 def h02(spark, d):
     return coding.code_units(tasks(spark, d), coding.word_coder).select("unit_id", "question", "applies", "quote")
 
 
-@query("h06_model_evaluation", "SELECT w AS question, count(*) AS calls, count(*) FILTER (contains(lower(text), w)) AS applies, count(*) FILTER (contains(lower(text), w)) AS verified FROM documents, (VALUES ('public'), ('license')) t(w) WHERE lang = 'en' GROUP BY w")
+@query("h06_model_evaluation", "SELECT w AS question, count(*) AS calls, count(*) FILTER (contains(lower(text), w)) AS applies, count(*) FILTER (contains(lower(text), w)) AS verified FROM documents, (VALUES ('public'), ('license')) t(w) GROUP BY w")
 def h06(spark, d):
     r = coding.code_units(tasks(spark, d), coding.word_coder)
     return r.groupBy("question").agg(F.count("*").alias("calls"), F.count_if("applies").alias("applies"), F.count_if(F.coalesce("verified", F.lit(False))).alias("verified"))
 
 
-@query("n03_resumable_queue", f"SELECT printf('%d::full', doc_id) AS unit_id, w AS question FROM documents, (VALUES ('public'), ('license')) t(w) WHERE lang = 'en' AND NOT (w = 'public' AND contains(lower(text), 'public'))")
+@query("n03_resumable_queue", f"SELECT printf('%d::full', doc_id) AS unit_id, w AS question FROM documents, (VALUES ('public'), ('license')) t(w) WHERE NOT (w = 'public' AND contains(lower(text), 'public'))")
 def n03(spark, d):
     t = tasks(spark, d).select("unit_id", "question", "passage")
     done = t.where((F.col("question") == "public") & F.lower("passage").contains("public")).select("unit_id", "question")
@@ -250,10 +329,11 @@ def n01(spark, d):
     return spark.read.schema("doc_id bigint, batch int").option("basePath", f"{base}/table").parquet(f"{base}/table").select("doc_id")
 
 
-@query("n02_version_filter", "SELECT doc_id FROM documents WHERE doc_id % 4 < 2")
+@query("n02_version_filter", f"SELECT doc_id, CAST(1 + 12 * (year(date) - 2024) + month(date) - 1 AS INTEGER) AS corpus_version FROM {MANIFEST_SQL} WHERE 12 * (year(date) - 2024) + month(date) <= 12")
 def n02(spark, d):
-    versions = documents(spark, d).select("doc_id", (F.col("doc_id") % 4 + 1).alias("corpus_version"))
-    return versions.where("corpus_version <= 2").select("doc_id")
+    """The corpus grows by a version a month; the first year's corpus is a filter."""
+    version = (12 * (F.year("date") - 2024) + F.month("date")).cast("int")
+    return manifest(spark, d).select("doc_id", version.alias("corpus_version")).where("corpus_version <= 12")
 
 
 @query("x01_tumbling_windows", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -35,6 +35,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, skip: list[str] | No
     return df.where(~F.col("_metadata.file_name").isin(skip)) if skip else df
 
 
+def first_tier(tiers: dict[str, tuple[Column, int]]) -> Column:
+    """``tier, content`` of the first source whose content has its least length; null if none has."""
+    some = (F.when(F.length(c) >= least, F.struct(F.lit(name).alias("tier"), c.alias("content"))) for name, (c, least) in tiers.items())
+    return F.coalesce(*some)
+
+
 def json_map(column: Column, value_ddl: str) -> Column:
     """Entries of a JSON object as an array of (key, value)."""
     return F.map_entries(F.from_json(column, f"map<string,{value_ddl}>"))

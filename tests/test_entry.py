@@ -32,7 +32,7 @@ def table(names, rows):
     return sorted(tuple(shown(r[i]) for i in order) for r in rows)
 
 
-CHECKED = ["i04_status_by_genre", "e19_sections", "f05_coding_units", "f07_echo_phrases", "f09_masked_references", "d04_pending_pairs", "d17_rank_matched_join", "i07_majority_vote", "i12_expression_frequency", "j10_gaps_and_islands", "k05_upsert", "l04_threshold_clusters", "l12_modularity", "m03_verdict", "a09_corrupt_lines_skipped", "b05_partitioned_replace", "h02_coding_function", "n01_incremental_intake", "x02_session_windows"]
+CHECKED = ["i04_status_by_genre", "e19_sections", "f05_coding_units", "f07_echo_phrases", "f09_masked_references", "d04_pending_pairs", "d17_rank_matched_join", "i07_majority_vote", "i12_expression_frequency", "j10_gaps_and_islands", "k05_upsert", "l04_threshold_clusters", "l12_modularity", "m03_verdict", "a09_corrupt_lines_skipped", "b05_partitioned_replace", "h02_coding_function", "n01_incremental_intake", "x02_session_windows", "e01_html_blocks", "e02_container_choice", "e04_heading_path", "e07_stop_at_boilerplate", "e13_attribution_merge", "e18_publication_date", "a14_thin_page_resolution"]
 
 
 @pytest.mark.parametrize("name", CHECKED)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from inkfold.functions import text as X
 from inkfold.operators import aggregates, coding, echo, graph, html, lexicon, sampling, vectors
+from inkfold.sources import files
 
 
 def rows(df):
@@ -148,15 +149,72 @@ def test_quotas_sum_to_k(spark):
     assert sum(got.values()) == 10 and set(got) == {"a", "b", "c"}
 
 
+def prose_of(n):
+    return [f"<p>Paragraph {k} is long enough to count as prose, as it has a stop.</p>" for k in range(n)]
+
+
+def test_content_root_needs_three_paragraphs():
+    for n, root in ((2, "body"), (3, "article")):
+        page = "<p>Outside.</p><article>" + "".join(prose_of(n)) + "</article>"
+        assert html.content_root(html.walked(page).elements) == root
+        assert ("body", [], "Outside.") in html.page_blocks(page) or root == "article"
+    both = "<article>" + "".join(prose_of(5)) + "</article><main>" + "".join(prose_of(3)) + "</main>"
+    assert html.content_root(html.walked(both).elements) == "main"
+    second = "<article><p>One.</p></article><article>" + "".join(prose_of(4)) + "</article>"
+    assert html.content_root(html.walked(second).elements) == "body"  # only the first one counts
+
+
 def test_page_walk():
-    page = "<nav><p>skip</p></nav><article><h1>T</h1><p><b>one<p>two &amp; more<script>var a='</p>'</script><h2>S</h2><li>item</li><blockquote><p>said</p></blockquote></article><footer><p>x</p></footer>"
-    assert html.page_blocks(page) == [("title", [], "T"), ("body", ["T"], "one"), ("body", ["T"], "two & more"), ("section_heading", ["T"], "S"), ("body", ["T", "S"], "item"), ("quotation", ["T", "S"], "said")]
+    page = "<nav><p>skip.</p></nav><main><h1>T</h1><p><b>one.<p>two &amp; more.<script>var a='</p>'</script><h2>S</h2><p>S</p><h4>deep</h4><li>An item that has thirty characters.</li><li>short.</li><h3>mid</h3><blockquote><p>said.</p></blockquote><p>— who</p><h2>Next</h2><p>three.</p></main><footer><p>x</p></footer>"
+    assert html.page_blocks(page) == [
+        ("title", [], "T"), ("body", [], "one."), ("body", [], "two & more."), ("section_heading", [], "S"), ("section_heading", ["S"], "deep"), ("body", ["S", "deep"], "An item that has thirty characters."),
+        ("section_heading", ["S"], "mid"), ("quotation", ["S", "mid"], "said. — who"), ("section_heading", [], "Next"), ("body", ["Next"], "three."),
+    ]
     assert html.page_blocks("") == [] and html.page_blocks(None) == []
+    assert html.page_blocks("<title> A  b </title><p>x.</p>") == [("title", [], "A b"), ("body", [], "x.")]
+
+
+def test_the_article_ends_at_boilerplate_headings():
+    page = "<h1>T</h1><p>one.</p><h2>Related Content</h2><p>two.</p>"
+    assert [t for _, _, t in html.page_blocks(page)] == ["T", "one."]
+    assert [t for _, _, t in html.page_blocks("<h1>T</h1><p>one.</p><h1>U</h1><p>two.</p>")] == ["T", "one."]
+
+
+def test_widgets_contents_and_bold_paragraphs():
+    page = "<h1>T</h1><p>Share</p><p>5 minute read</p><p>Jun 15, 2025</p><p>no stop here</p><p>Try it now!</p><p>Try it now!</p><p><strong>Sub heading</strong></p><p><b>Bold.</b></p><p><b>a</b> b.</p><h2>Part</h2><p>Pillar 1</p><h3>Pillar 1</h3>"
+    assert html.page_blocks(page) == [("title", [], "T"), ("section_heading", [], "Sub heading"), ("body", ["Sub heading"], "Bold."), ("body", ["Sub heading"], "a b."), ("section_heading", [], "Part"), ("pillar_name", ["Part"], "Pillar 1")]
+
+
+def test_quotations_need_a_span_and_a_verb():
+    quoted = "She said: “a span of twenty characters or more”."
+    page = f"<h1>T</h1><p>{quoted}</p><p>- A. Person</p><p>“a span of twenty characters or more”, and no verb.</p>"
+    assert html.page_blocks(page)[1:] == [("quotation", [], f"{quoted} - A. Person"), ("body", [], "“a span of twenty characters or more”, and no verb.")]
+    twice = "<h1>T</h1><blockquote>Words.</blockquote><p>Words.</p><p>– me</p>"
+    assert html.page_blocks(twice)[1:] == [("quotation", [], "Words. – me")]
 
 
 def test_open_quotes_absorb_four_paragraphs():
     assert html.merged_quotes(["she said “a", "b” end", "c"]) == ["she said “a b” end", "c"]
     assert html.merged_quotes(["she said “a", *"bcdef"]) == ["she said “a b c d e", "f"]
+    assert html.merged_quotes(['he added "a', 'b" c']) == ['he added "a b" c']
+    assert html.merged_quotes(["“a", "b”"]) == ["“a", "b”"]  # nobody said it
+    assert html.merged_quotes(["he says “a” and 5\" more", "b"]) == ["he says “a” and 5\" more", "b"]
+
+
+def test_publication_dates(spark):
+    pages = [
+        '<meta name="date" content="2024-02-01"><meta property="article:published_time" content="2024-03-04T10:00Z">', "<meta content='2024-05-06' property='og:updated_time'><time datetime=\"2023-01-01\">x</time>",
+        '<time class="a" datetime="2025-07-08T00:00">8 July</time> Published 1 May 2020', "<p>Published:  <b>9 August 2024</b></p>", "Published 31 February 2024", "Published 5 Foo 2024", "", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, h string")
+    got = [r[0] for r in df.orderBy("i").select(html.publication_date(F.col("h"))).collect()]
+    assert got == ["2024-03-04", "2024-05-06", "2025-07-08", "2024-08-09", None, None, None, None]
+
+
+def test_first_tier_that_is_good_enough(spark):
+    df = spark.createDataFrame([("long enough", "x", "t"), ("no", "also long", "t"), (None, "no", "")], "a string, b string, c string")
+    got = df.select(files.first_tier({"a": (F.col("a"), 5), "b": (F.col("b"), 5), "c": (F.col("c"), 1)}).alias("t")).collect()
+    assert [r.t and tuple(r.t) for r in got] == [("a", "long enough"), ("b", "also long"), None]
 
 
 def test_tolerant_answers():
