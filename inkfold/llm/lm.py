@@ -48,7 +48,7 @@ def _pack(a: np.ndarray) -> bytes:
     """Byte planes, compressed: planes of small numbers vanish."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
 
 
 def _unpack(data: bytes, dtype) -> np.ndarray:
