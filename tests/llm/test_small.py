@@ -7,11 +7,12 @@ import itertools
 import math
 import random
 import re
-import tempfile
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,15 @@ def test_near_duplicates_of_nothing(spark):
     assert [tuple(r) for r in minhash.near_duplicates(one).collect()] == [(4, 0, 4), (4, 0, 4)]
 
 
+def test_repeated_ids_and_long_texts(spark):
+    """An id with two texts links what either is near; long texts are whole."""
+    rnd = random.Random(13)
+    a, b, long = prose(rnd, 40), prose(rnd, 40), prose(rnd, 30_000)
+    rows = [(1, a), (1, b), (2, f"{a} one"), (3, f"{b} two"), (1, a), (7, long), (8, edited(rnd, long, 20)), (9, None), (None, a), (5, "")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=2)
+    assert sorted((r.id, r.component) for r in got.collect()) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (5, 5), (7, 7), (8, 7), (9, 9)]
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(30)] + [(50, 40), (60, 50), (60, 60), (50, 40)]
     got = {(r.id, r.component) for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
@@ -99,25 +109,86 @@ def test_components(spark):
 # --- 2 ---------------------------------------------------------------------------------
 
 
+def brute_scores(texts, trained, tuning, order):
+    """(n_tokens, n_known, base, score) by dictionaries: counts, buckets of context counts, and EM on single tokens."""
+    toks = {i: [*WORDS.findall((t or "").translate(LOWER)), "<end>"] for i, t in texts.items()}
+
+    def events(i):
+        padded = ["<begin>"] * (order - 1) + toks[i]
+        for p in range(order - 1, len(padded)):
+            yield [tuple(padded[p - k : p]) for k in range(order)], padded[p]
+
+    def model(ids):
+        grams, contexts = Counter(), Counter()
+        for i in ids:
+            for hs, w in events(i):
+                contexts.update(hs)
+                grams.update((h, w) for h in hs)
+        kinds = len({w for (h, w) in grams if h == ()})
+
+        def parts(hs, w):
+            seen = contexts[hs[-1]]
+            ml = [grams[h, w] / contexts[h] if contexts[h] else 0.0 for h in hs]
+            return min(seen.bit_length(), 24), [1 / (kinds + 1), *ml]
+
+        return parts, grams, contexts[()], kinds
+
+    early = model([i for i in texts if trained(i) and not tuning(i)])[0]
+    held = {}
+    for i in texts:
+        if trained(i) and tuning(i):
+            for hs, w in events(i):
+                b, q = early(hs, w)
+                held.setdefault(b, []).append(q)
+    weight = {}
+    for b, qs in held.items():
+        w = [1 / (order + 1)] * (order + 1)
+        for _ in range(60):
+            new = [0.0] * (order + 1)
+            for q in qs:
+                share = [x * y for x, y in zip(w, q)]
+                new = [n + s / sum(share) for n, s in zip(new, share)]
+            w = [max(n / sum(new), 1e-9) for n in new]
+            w[0] = max(w[0], 1e-6)
+            w = [x / sum(w) for x in w]
+        weight[b] = w
+    parts, grams, total, kinds = model([i for i in texts if trained(i)])
+    unseen = [1 / order] * order + [0.0] if order > 1 else [1 / 2] * 2
+    out = {}
+    for i in texts:
+        c = [grams[(), w] for w in toks[i]]
+        score = 0.0
+        for hs, w in events(i):
+            b, q = parts(hs, w)
+            score += math.log10(sum(x * y for x, y in zip(weight.get(b, [1 / (order + 1)] * (order + 1) if b else unseen), q)))
+        out[i] = (len(c), sum(x > 0 for x in c), sum(math.log10((x + 1) / (total + kinds + 1)) for x in c), score)
+    return out
+
+
+def scored_alike(got, want):
+    """Counts and base are exact; the weights come from a histogram in eighths of an octave."""
+    for i, (n, known, base, score) in want.items():
+        assert (got[i].n_tokens, got[i].n_known) == (n, known)
+        assert got[i].base_score == pytest.approx(base)
+        # What the histogram costs shows most in the small weight of unknown and rare words.
+        assert abs(got[i].score - score) < 0.03 * n + 0.1 * (n - known), (i, got[i].score, score)
+    assert abs(sum(got[i].score - w[3] for i, w in want.items())) < 0.002 * sum(w[0] for w in want.values())
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_scores(spark, monkeypatch, order):
     monkeypatch.setattr(lm, "BLOCK_TOKENS", 300)
     monkeypatch.setattr(lm, "SHARD_KEYS", 500)
     rnd = random.Random(order)
     def walk(n, at=1):
-        return " ".join(f"w{(at := (at * 3 + 1) % 31 if rnd.random() < 0.8 else rnd.randrange(31))}" for _ in range(n))
+        return " ".join(f"w{(at := (at * 3 + 1) % 31 if rnd.random() < 0.6 else int(rnd.paretovariate(0.8)) % 900)}" for _ in range(n))
 
-    texts = [None, "", " x\ty "] + [walk(rnd.randrange(1, 60)) for _ in range(90)]
+    texts = [None, "", " x\ty "] + [walk(rnd.randrange(1, 60)) for _ in range(90)] + [walk(5000), "Word" * 5000]
     df = docs_of(spark, texts)
     got = {r.id: r for r in lm.score(df, "doc_id", "text", F.col("doc_id") % 7 != 2, F.col("doc_id") % 5 == 0, order=order).collect()}
-    toks = {i: [*WORDS.findall((t or "").translate(LOWER)), None] for i, t in enumerate(texts)}
-    c = Counter(w for i, t in toks.items() if i % 7 != 2 for w in t)
-    total, kinds = sum(c.values()), len(c)
-    for i, t in toks.items():
-        assert got[i].train_tokens == total and got[i].n_tokens == len(t) and got[i].n_known == sum(w in c for w in t)
-        assert got[i].base_score == pytest.approx(sum(math.log10((c[w] + 1) / (total + kinds + 1)) for w in t))
-        assert math.isfinite(got[i].score)
-    held = [i for i in toks if i % 7 == 2]
+    want = brute_scores(dict(enumerate(texts)), lambda i: i % 7 != 2, lambda i: i % 5 == 0, order)
+    scored_alike(got, want)
+    held = [i for i in want if i % 7 == 2]
     assert order == 1 or sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
 
 
@@ -167,26 +238,67 @@ def brute_repeats(texts, window):
     return out
 
 
-@pytest.mark.parametrize("hot", [10_000, 4])
+def repeats_of(spark, texts):
+    return {r.id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix.remove_repeats(docs_of(spark, texts)).collect()}
+
+
+@pytest.mark.parametrize("hot", [10_000, 4, 0])
 def test_repeats(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix, "HOT", hot)
     monkeypatch.setattr(suffix, "BLOCK_BYTES", 3000)
-    monkeypatch.setattr(suffix, "COLLECTION", 200)
+    monkeypatch.setattr(suffix, "COLLECTION", 50)
+    monkeypatch.setattr(suffix, "GROUP", 100)
+    monkeypatch.setattr(suffix, "SHARD_KEYS", 200)
     rnd = random.Random(4)
-    passage = prose(rnd, 14)
-    texts = [None, "", "short", "a" * 90, "a" * 70, passage, passage, "é" * 40, "x" + "é" * 40]
+    passage, line = prose(rnd, 14), prose(rnd, 7)[:30]
+    texts = [None, "", "short", "a" * 90, "a" * 70, passage, passage, "é" * 40, "x" + "é" * 40, "ab" * 60, "ba" * 50]
     texts += [prose(rnd, 8) + passage[: rnd.randrange(30, len(passage))] + prose(rnd, 8) for _ in range(8)]
+    texts += [f"{prose(rnd, 3)}{line}{prose(rnd, 3)}" for _ in range(60)]  # a hot line between other words
+    long = prose(rnd, 3000)
+    texts += [long, prose(rnd, 20) + long[900:4000] + prose(rnd, 20), long]
     texts = dict(enumerate(texts))
-    got = suffix.remove_repeats(docs_of(spark, texts))
-    assert {r.id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()} == brute_repeats(texts, 50)
+    assert repeats_of(spark, texts) == brute_repeats(texts, 50)
+
+
+def test_repeats_of_random_strings(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "BLOCK_BYTES", 500)
+    rnd = random.Random(5)
+    stock = ["".join(rnd.choice("ab\n\u0000") for _ in range(rnd.randrange(1, 120))) for _ in range(12)]
+    texts = {rnd.randrange(-(10**12), 10**12): "".join(rnd.choice(stock) for _ in range(rnd.randrange(6))) for _ in range(80)}
+    assert repeats_of(spark, texts) == brute_repeats(texts, 50)
+
+
+def test_every_string_is_in_one_piece_of_its_key(monkeypatch):
+    monkeypatch.setattr(suffix, "_PLACE", 8)  # slices of 256 positions
+    rnd = random.Random(12)
+    texts = [bytes(rnd.choice(b"abc") for _ in range(rnd.choice([0, 20, 49, 50, 51, 700]))) for _ in range(30)] + [b"a" * 600]
+    sizes = np.array([len(t) for t in texts])
+    p = suffix.cut(np.frombuffer(b"".join(texts), np.uint8), sizes, 50)
+    keys, seen, data = {}, set(), b"".join(texts)
+    for start, run, key, doc in zip(*(x.tolist() for x in p)):
+        assert 1 <= run <= 50 - suffix.GRAM + 1 and sizes[:doc].sum() <= start and start + run + 49 <= sizes[: doc + 1].sum()
+        for k in range(start, start + run):
+            assert k not in seen and keys.setdefault(data[k : k + 50], key) == key
+            seen.add(k)
+    assert len(seen) == np.maximum(sizes - 49, 0).sum()
+
+
+def test_repeats_of_nothing_and_of_one_id(spark):
+    assert suffix.remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+    same = "the same words of one document in two rows of a table, and then more of them"
+    df = spark.createDataFrame([(4, same), (4, same), (9, f"x{same}"), (None, same)], "doc_id bigint, text string")
+    got = sorted((r.id, r.n_removed) for r in suffix.remove_repeats(df).collect())
+    assert got == [(4, 0), (4, 0), (9, len(same))]
 
 
 def test_column_wise_order():
     rnd = random.Random(6)
-    for _ in range(40):
-        strings = [bytes(rnd.choice(b"ab\xff\x00") for _ in range(rnd.randrange(12))) for _ in range(rnd.randrange(1, 15))]
-        with tempfile.TemporaryDirectory() as folder:
-            owner, length, prefix = suffix.column_wise(strings, 255, folder)
+    for k in range(40):
+        strings = [bytes(rnd.choice(b"ab\xff\x00" if k % 2 else b"ab\x00") for _ in range(rnd.randrange(12))) for _ in range(rnd.randrange(1, 15))]
+        rows = np.zeros((len(strings), 12), np.uint8)
+        for row, s in zip(rows, strings):
+            row[: len(s)] = list(s)
+        owner, length, prefix = suffix.column_wise(rows, np.array([len(s) for s in strings]), 255)
         got = [strings[o][len(strings[o]) - n :] for o, n in zip(owner, length)]
         assert got == sorted(s[k:] for s in strings for k in range(len(s) + 1))
         shared = [0] + [next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(got, got[1:])]
@@ -195,16 +307,29 @@ def test_column_wise_order():
 
 # --- 4 ---------------------------------------------------------------------------------
 
-ODD_TEXTS = ["", " ", "  a b   c ", "a\n\n b\t c", "日本語 テスト é", "\r\n;\r x", "\x00 a", "\n", "\n a", "a \n", "it's I'm don't", "the    the  \n   the", "a b  c", "x" * 300, "<|endoftext|> x", "▁x ▁ y"]
+ODD_TEXTS = ["", " ", "  a b   c ", "a\n\n b\t c", "日本語 テスト é", "\r\n;\r x", "\x00 a", "\n", "\n a", "a \n", "it's I'm don't", "the    the  \n   the", "a b  c", "x" * 300, "<|endoftext|> x", "a <|endoftext|> b", "p\ue000 q", "▁x ▁ y"]
+
 
+def own_tokenizer(path):
+    from tokenizers import Tokenizer
 
-def test_pieces_encode_like_whole_texts():
+    return Tokenizer.from_file(path)
+
+
+def test_pieces_encode_like_whole_texts(monkeypatch):
     path = tokenizer_file("byte_bpe_50k.json")
     rnd = random.Random(8)
     texts = ODD_TEXTS + ["".join(rnd.choice("ab c\n.,'é1\t") for _ in range(40)) for _ in range(300)]
-    ids, n = repair.encode_texts(path, texts)
-    want = [e.ids for e in repair._tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+    want = [e.ids for e in own_tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):  # the second time, its pieces are known
+        ids, n = repair.encode_texts(path, pa.array(texts, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+    ids, n = repair.encode_texts(path, pa.array(["", *texts, "zz"], pa.string()).slice(1, len(texts)))
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+    monkeypatch.setattr(repair._pieces(path), "most", 10)
+    ids, n = repair.encode_texts(path, pa.array(texts, pa.string()))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+    assert want[texts.index("a <|endoftext|> b")] == [64, 220, 50256, 275]
 
 
 def test_grammar_round_trip_and_random_access():
@@ -220,13 +345,32 @@ def test_grammar_round_trip_and_random_access():
     assert len(shard.symbols) < size / 2
 
 
+@pytest.mark.parametrize("base", [300, 70_000])
+def test_grammar_ends_when_no_pair_is_frequent(base):
+    rnd = random.Random(3)
+    phrases = [[rnd.randrange(base) for _ in range(rnd.randrange(2, 40))] for _ in range(30)]
+    ids = np.array([x for _ in range(3000) for x in rnd.choice(phrases)], np.int64)
+    symbols, rules, lengths = repair.compress(ids, base)
+    flat, size = repair.expansions(rules, base)
+    assert size.tolist() == lengths.tolist()
+    assert (np.concatenate([[x] if x < base else flat[size[: x - base].sum() : size[: x - base + 1].sum()] for x in symbols.tolist()]) == ids).all()
+    n = Counter()
+    last = None
+    for p in zip(symbols.tolist(), symbols.tolist()[1:]):  # a run's pairs overlap: count every second
+        last = None if p == last and p[0] == p[1] else p
+        n[p] += last is not None
+    assert max(n.values()) < repair.LEAST
+    assert len(symbols) < len(ids) / 8
+
+
 def test_shards_in_order(spark, monkeypatch):
     path = tokenizer_file("byte_bpe_50k.json")
-    texts = {7: "b", 3: None, 9: "x y z", 1: "a a a a"}
+    monkeypatch.setattr(repair, "SHARD_IDS", 8)
+    texts = {7: "b", 3: None, 9: "x y z", 1: "a a a a", 12: "long text " * 30_000, 13: "", 14: "x" * 100_000}
     got = [tuple(r) for r in repair.read(repair.write(docs_of(spark, texts), path)).orderBy("id").collect()]
     want, start = [], 0
     for i in sorted(texts):
-        ids = [*repair._tokenizer(path).encode(texts[i] or "", add_special_tokens=False).ids, 0]
+        ids = [*own_tokenizer(path).encode(texts[i] or "", add_special_tokens=False).ids, 0]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert got == want
@@ -416,8 +560,9 @@ def test_forward_scores_are_shared_and_best():
         return top[-1]
 
     words = ["▁the", "▁there", "▁then", "▁zq", "▁étés", "abc"]
-    for word, ids in zip(words, spm.encode_words(m, words)):
-        pieces, k = [], 0
+    flat, start, n = spm.encode_words(m, words)
+    for k, word in enumerate(words):
+        ids = flat[start[k] : start[k] + n[k]]
         text = b"".join(m.bytes_of[i] for i in ids).decode().replace(" ", "▁")
         assert text == word
         got = sum(m.score[m.pieces[i]] if i in m.pieces else 0 for i in ids)
@@ -425,6 +570,48 @@ def test_forward_scores_are_shared_and_best():
         assert got + fallback == pytest.approx(best(word))
 
 
+def test_unigram_model_equals_the_library(spark, tmp_path):
+    """A hand-made unigram model with byte pieces: Viterbi over shared prefixes against the library."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    rnd, proto = random.Random(21), pb.ModelProto()
+    proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback = 1, True
+    proto.normalizer_spec.name, proto.normalizer_spec.add_dummy_prefix = "identity", True
+    proto.normalizer_spec.remove_extra_whitespaces, proto.normalizer_spec.escape_whitespaces = False, True
+    proto.pieces.add(piece="<unk>", score=0, type=2)
+    for k in range(256):
+        proto.pieces.add(piece=f"<0x{k:02X}>", score=0, type=6)
+    names = {"▁", *"abcde", *(x + "".join(rnd.choice("abcde") for _ in range(rnd.randrange(1, 6))) for x in ["", "▁"] * 60)}
+    for name in sorted(names):
+        proto.pieces.add(piece=name, score=-rnd.uniform(1, 12), type=1)
+    path = str(tmp_path / "unigram.model")
+    (tmp_path / "unigram.model").write_bytes(proto.SerializeToString())
+    texts = ["", "a", "  ab", "zé a", "e" * 3000] + ["".join(rnd.choice("aabbccdde  z") for _ in range(rnd.randrange(60))) for _ in range(200)]
+    want = sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)
+    m = spm.Model(path)
+    assert not m.merges
+    total = lambda ids: sum(m.score[m.pieces[i]] for i in ids if i in m.pieces)
+    got = {r.id: r.ids for r in spm.encode(docs_of(spark, texts), path).collect()}
+    # "cc c" and "c cc" have one score: which one the library takes hangs on its rounding.
+    assert all(got[i] == w or len(got[i]) == len(w) and total(got[i]) == pytest.approx(total(w), abs=1e-6) for i, w in enumerate(want))
+    assert sum(got[i] == w for i, w in enumerate(want)) > 0.98 * len(want)
+
+
+def test_long_words_take_memory_in_proportion():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    path, rnd = tokenizer_file("piece_bpe_32k.model"), random.Random(22)
+    p, m = sentencepiece.SentencePieceProcessor(model_file=path), spm.Model(path)
+    long = "".join(rnd.choice("abcdeinorst日本é") for _ in range(300_000))
+    texts = [long, long[:150_000] + "x", "a" * 20_000, " " * 5000 + "b", ""]
+    tracemalloc.start()
+    ids, ends = spm.encode_texts(m, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x.tolist() for x in np.split(ids, ends[1:-1])] == p.encode(texts)
+    assert peak < 200e6
+
+
 def test_null_and_empty_texts(spark):
     path = tokenizer_file("piece_bpe_32k.model")
     got = spm.decode(spm.encode(docs_of(spark, [None, ""]), path), path).collect()
