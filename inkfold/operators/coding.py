@@ -13,7 +13,8 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Coder = Callable[[str, str], str]
 RECORD_DDL = "unit_id string, question string, instance int, applies boolean, quote string, verified boolean, error string"
@@ -24,7 +25,7 @@ class TransientError(Exception):
 
 
 def with_retry(coder: Coder, attempts: int = 3, pause: float = 0.0) -> Coder:
-    """The coder, called again after a transient error, with a growing pause."""
+    """The coder, called again after a transient error (a busy service), with a pause that grows by ``pause``."""
 
     def call(prompt: str, passage: str) -> str:
         for k in range(attempts):
@@ -81,6 +82,87 @@ def code_units(tasks: DataFrame, coder: Coder) -> DataFrame:
     return tasks.select("unit_id", "question", "prompt", "passage").mapInArrow(run, RECORD_DDL)
 
 
+def profile_documents(docs: DataFrame, coder: Coder, fields: list[str]) -> DataFrame:
+    """One call for each row ``doc_id, context, passage``: the ``fields`` of the answer as text, or ``error``."""
+    call = with_retry(coder)
+
+    def one(context: str, passage: str) -> list[str | None]:
+        try:
+            out = parsed(call(context, passage))
+        except Exception as e:  # whatever the injected model raises becomes a row
+            return [None] * len(fields) + [str(e)[:200] or type(e).__name__]
+        if out is None:
+            return [None] * len(fields) + ["no JSON object in the answer"]
+        return [None if out.get(f) is None else str(out[f]) for f in fields] + [None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [one(c or "", p or "") for c, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.record_batch([b.column(0), *(pa.array([g[k] for g in got], pa.string()) for k in range(len(fields) + 1))], ["doc_id", *fields, "error"])
+
+    return docs.select("doc_id", "context", "passage").mapInArrow(run, "doc_id bigint, " + ", ".join(f"`{f}` string" for f in [*fields, "error"]))
+
+
+def embed(docs: DataFrame, encoder: Callable[[list[str]], list[list[float]]], dims: int, batch: int = 32, chars: int = 1500) -> DataFrame:
+    """``doc_id, embedding`` (array<float>, at length one): texts go to the encoder ``batch`` at a time, cut at ``chars``.
+
+    A null text is empty; a zero vector stays zero.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            texts = [(t or "")[:chars] for t in b.column(1).to_pylist()]
+            parts = [np.asarray(encoder(texts[k : k + batch]), np.float32).reshape(-1, dims) for k in range(0, len(texts), batch)]
+            m = np.concatenate(parts) if parts else np.zeros((0, dims), np.float32)
+            norm = np.linalg.norm(m, axis=1, keepdims=True)
+            m = m / np.where(norm > 0, norm, 1)
+            yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * dims, pa.int32()), pa.array(m.reshape(-1), pa.float32()))], ["doc_id", "embedding"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, embedding array<float>")
+
+
+def letter_encoder(texts: list[str]) -> list[list[float]]:
+    """Deterministic stand-in: how often each letter's code occurs, in 768 places."""
+    out = []
+    for t in texts:
+        v = [0.0] * 768
+        for c in t:
+            v[ord(c) % 768] += 1.0
+        out.append(v)
+    return out
+
+
+def write_if_available(probe: Callable[[], object], df: DataFrame, path: str) -> bool:
+    """Overwrite ``path`` if the probe answers; otherwise nothing is computed and the old output stays."""
+    try:
+        probe()
+    except Exception:  # whatever the probe raises means that the service is not there
+        return False
+    df.write.mode("overwrite").parquet(path)
+    return True
+
+
+def flushed(spark: SparkSession, path: str) -> DataFrame:
+    """The records that runs have written under ``path`` so far."""
+    return spark.read.schema(f"{RECORD_DDL}, run int").option("basePath", path).parquet(f"{path}/run=*")
+
+
+def resume(tasks: DataFrame, coder: Coder, path: str, run: int) -> None:
+    """Code the (unit, question) pairs without a successful record, and write them as ``run``.
+
+    Tasks commit one by one, so what is done when a run stops stays; a run that is
+    repeated replaces its own records only.
+    """
+    spark = tasks.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+        done = flushed(spark, path).where("error IS NULL").where(F.col("run") != run).select("unit_id", "question").distinct()
+        tasks = tasks.join(done, ["unit_id", "question"], "left_anti")
+    code_units(tasks, coder).write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
 def word_coder(prompt: str, passage: str) -> str:
     """Deterministic stand-in: quotes the words of the passage that the prompt asks for."""
     word = prompt.split()[-1]

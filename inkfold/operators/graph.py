@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.sources.shared import stored
+from inkfold.sources.shared import discard, stored
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -24,9 +24,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         after = near.join(up, F.col("next") == F.col("at"), "left").select("id", F.least("next", F.coalesce("above", "next")).alias("component"), F.col("component").alias("was"))
         after = stored(after, "labels")
         changed = after.where("component <> was").limit(1).count()
-        label = after.select("id", "component")
+        discard(label)
+        label = after
         if not changed:
-            return label
+            discard(both)
+            return label.select("id", "component")
 
 
 def undirected_pairs(edges: DataFrame, known: DataFrame) -> DataFrame:
@@ -51,10 +53,46 @@ def label_propagation(pairs: DataFrame, rounds: int = 100) -> DataFrame:
         best = votes.groupBy("u").agg(F.min_by("community", F.struct(-F.col("w"), "community")).alias("next"))
         after = stored(label.join(best, F.col("id") == F.col("u")).select("id", F.col("next").alias("community"), F.col("community").alias("was")), "communities")
         moved = after.where("community <> was").limit(1).count()
-        label = after.select("id", "community")
+        discard(label)
+        label = after
         if not moved:
             break
-    return label
+    discard(both)
+    return label.select("id", "community")
+
+
+def greedy_modularity(pairs: DataFrame, rounds: int = 100) -> DataFrame:
+    """``id, community`` (its smallest id) of rows ``a, b, weight`` with a < b: merges that raise modularity.
+
+    In a round each community chooses the neighbour whose merger gains most (a tie
+    goes to the smallest id), and those who choose each other merge.  Gains of
+    disjoint mergers add up, so modularity rises with each round; it ends when no
+    merger gains anything.  Only the graph of communities is kept between rounds,
+    and it shrinks.
+    """
+    both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    total = pairs.agg(F.sum("weight").cast("double")).head()[0]
+    if not total:
+        return pairs.select(F.col("a").alias("id"), F.col("a").alias("community")).limit(0)
+    edges = stored(pairs.select("a", "b", F.col("weight").cast("double").alias("weight")), "communities")
+    degree = stored(both(edges).groupBy("a").agg(F.sum("weight").alias("degree")).select(F.col("a").alias("id"), "degree"), "degrees")
+    label = stored(degree.select("id", F.col("id").alias("community")), "labels")
+    for _ in range(rounds):
+        da, db = degree.select(F.col("id").alias("a"), F.col("degree").alias("x")), degree.select(F.col("id").alias("b"), F.col("degree").alias("y"))
+        gain = F.round(F.col("weight") / total - F.col("x") * F.col("y") / (2 * total * total), 12)
+        gains = stored(edges.join(da, "a").join(db, "b").select("a", "b", gain.alias("weight")).where("weight > 0"), "gains")
+        choice = both(gains).groupBy("a").agg(F.min_by("b", F.struct(-F.col("weight"), "b")).alias("b"))
+        merged = stored(choice.alias("p").join(choice.alias("q"), (F.col("p.a") == F.col("q.b")) & (F.col("p.b") == F.col("q.a"))).where("p.a > p.b").select(F.col("p.a").alias("old"), F.col("p.b").alias("new")), "merged")
+        discard(gains)
+        if not merged.limit(1).count():
+            break
+        to = lambda df, c: df.join(merged, F.col(c) == F.col("old"), "left").withColumn(c, F.coalesce("new", c)).drop("old", "new")
+        moved = to(to(edges, "a"), "b").where("a <> b").groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.sum("weight").alias("weight"))
+        after = stored(moved.select(F.col("x").alias("a"), F.col("y").alias("b"), "weight"), "communities"), stored(to(degree, "id").groupBy("id").agg(F.sum("degree").alias("degree")), "degrees"), stored(to(label, "community"), "labels")
+        for df in (edges, degree, label, merged):
+            discard(df)
+        edges, degree, label = after
+    return label.select("id", "community")
 
 
 def modularity(pairs: DataFrame, label: DataFrame) -> DataFrame:
@@ -82,7 +120,3 @@ def adjusted_rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
 def isolated(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     return nodes.join(ends, "id", "left_anti")
-
-
-def in_order(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*keys)))

@@ -41,13 +41,46 @@ def sections(blocks: DataFrame) -> DataFrame:
     return per.select("doc_id", index.cast("bigint").alias("section_idx"), F.coalesce("heading", F.lit("(start)")).alias("heading"), "n_blocks", "text")
 
 
-def coding_units(docs: DataFrame, parts: DataFrame, short: int = 9000, lexicon: dict[str, list[str]] | None = None) -> DataFrame:
-    """Sections with a hit of any class; whole short documents that have none."""
+def text_sections(text: Column, heading_chars: int) -> Column:
+    """The same sections as an array, from a text's own lines: nothing is shuffled.
+
+    The first line is the title; a later line of ``heading_chars`` characters at most
+    is a heading.  Elements have ``section_idx, heading, n_blocks, text``.
+    """
+    lines = F.split(text, "\n")
+    is_head = lambda i: F.length(F.get(lines, i)) <= heading_chars
+    heads = F.when(F.size(lines) > 1, F.filter(F.sequence(F.lit(1), F.size(lines) - 1), is_head)).otherwise(F.array().cast("array<int>"))
+    starts = F.concat(F.array(F.lit(0)), heads)
+    ends = F.concat(heads, F.array(F.size(lines)))
+    return F.transform(
+        F.arrays_zip(starts.alias("a"), ends.alias("b")),
+        lambda s, k: F.struct(
+            k.cast("bigint").alias("section_idx"),
+            F.when(k == 0, "(start)").otherwise(F.substring(F.get(lines, s["a"]), 1, 120)).alias("heading"),
+            (s["b"] - s["a"]).cast("bigint").alias("n_blocks"),
+            F.array_join(F.slice(lines, s["a"] + 1, s["b"] - s["a"]), "\n").alias("text"),
+        ),
+    )
+
+
+def document_sections(docs: DataFrame, heading_chars: int) -> DataFrame:
+    """``doc_id, section_idx, heading, n_blocks, text`` of ``doc_id, text``."""
+    return docs.select("doc_id", F.explode(text_sections(F.col("text"), heading_chars)).alias("s")).select("doc_id", "s.*")
+
+
+def coding_units(docs: DataFrame, heading_chars: int, short: int = 9000, lexicon: dict[str, list[str]] | None = None) -> DataFrame:
+    """Sections with a hit of any class; whole short documents that have none.
+
+    Both come from one scan: a document's own sections say whether it has a hit.
+    """
     lexicon = lexicon or LEXICON
     every = [p for c in lexicon.values() for p in c]
-    hit = parts.where(pattern_counts(F.col("text"), every) > 0).select(F.format_string("%d::s%02d", "doc_id", "section_idx").alias("unit_id"), "doc_id", F.lit("lexicon").alias("retrieval"), F.length("text").cast("bigint").alias("chars"))
-    whole = docs.join(hit.select("doc_id").distinct(), "doc_id", "left_anti").where(F.length("text") <= short)
-    return hit.unionByName(whole.select(F.format_string("%d::full", "doc_id").alias("unit_id"), "doc_id", F.lit("full_short_doc").alias("retrieval"), F.length("text").cast("bigint").alias("chars")))
+    hits = docs.select("doc_id", "text", F.filter(text_sections(F.col("text"), heading_chars), lambda s: pattern_counts(s["text"], every) > 0).alias("hit"))
+    unit = lambda name, how, chars: F.struct(name.alias("unit_id"), F.lit(how).alias("retrieval"), chars.cast("bigint").alias("chars"))
+    sections_ = F.transform("hit", lambda s: unit(F.format_string("%d::s%02d", "doc_id", s["section_idx"]), "lexicon", F.length(s["text"])))
+    whole = F.when((F.size("hit") == 0) & (F.length("text") <= short), F.array(unit(F.format_string("%d::full", "doc_id"), "full_short_doc", F.length("text"))))
+    each = F.explode(F.concat(sections_, F.coalesce(whole, F.array().cast("array<struct<unit_id:string,retrieval:string,chars:bigint>>"))))
+    return hits.select("doc_id", each.alias("u")).select("u.unit_id", "doc_id", "u.retrieval", "u.chars")
 
 
 def top_by_similarity(similar: DataFrame, taken: DataFrame, k: int = 2, least: float = 0.52) -> DataFrame:

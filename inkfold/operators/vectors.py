@@ -19,42 +19,75 @@ def normalised(v: Column) -> Column:
     return F.when(norm > 0, F.transform(w, lambda x: x / norm))
 
 
-def similar_pairs(df: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", block: int = 1024) -> DataFrame:
-    """``a, b, cosine`` with a < b and cosine >= ``least``, exactly.
+def _grid(df: DataFrame, key: str, vector: str, block: int) -> DataFrame:
+    """Vectors dealt into blocks: one group ``p, q`` for each unordered pair of blocks, with both sides.
 
-    Vectors are dealt into blocks, and each unordered pair of blocks is one task
-    of a matrix product: the dense n x n matrix exists nowhere, and only pairs
-    above the threshold leave a task.
+    Each vector goes to n / ``block`` groups; that exchange, and the n * n / 2 products,
+    are the price of an exact comparison without an index.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    n = df.count()
-    parts = max(1, -(-n // block))
+    parts = max(1, -(-df.count() // block))
     unit = df.select(F.col(key).cast("bigint").alias("id"), normalised(F.col(vector)).alias("v")).where("v IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
     # Block p meets every block q: once as the row side (p <= q), once as the column side.
     sides = F.concat(F.transform(F.sequence(F.col("part"), F.lit(parts - 1)), lambda q: F.struct(F.col("part").alias("p"), q.alias("q"), F.lit(0).alias("side"))), F.transform(F.sequence(F.lit(0), F.col("part")), lambda p: F.struct(p.alias("p"), F.col("part").alias("q"), F.lit(1).alias("side"))))
-    grid = unit.select("id", "v", F.explode(sides).alias("s")).select("s.*", "id", "v")
+    return unit.select("id", "v", F.explode(sides).alias("s")).select("s.*", "id", "v")
+
+
+def _near(t, least: float):
+    """``a, b, cosine`` (a < b) of one group of :func:`_grid`."""
+    import numpy as np
+
+    side, ids = t.column("side").to_numpy(), t.column("id").to_numpy()
+    v = t.column("v").combine_chunks()
+    m = v.values.to_numpy(zero_copy_only=False)[v.offsets[0].as_py() : v.offsets[-1].as_py()].reshape(len(ids), -1)
+    cos = m[side == 0] @ m[side == 1].T
+    i, j = np.nonzero(cos >= least)
+    x, y, c = ids[side == 0][i], ids[side == 1][j], cos[i, j]
+    keep = x < y if t.column("p")[0].as_py() == t.column("q")[0].as_py() else x != y
+    return np.minimum(x, y)[keep], np.maximum(x, y)[keep], c[keep]
+
+
+def similar_pairs(df: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", block: int = 1024) -> DataFrame:
+    """``a, b, cosine`` with a < b and cosine >= ``least``, exactly; vectors have one length.
+
+    Each group of blocks is one task of a matrix product: the dense n x n matrix
+    exists nowhere, and only pairs above the threshold leave a task.
+    """
+    import pyarrow as pa
 
     def product(t: pa.Table) -> pa.Table:
-        side, ids = t.column("side").to_numpy(), t.column("id").to_numpy()
-        m = np.array(t.column("v").to_pylist())
-        empty = {"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())}
-        if not (side == 0).any() or not (side == 1).any():
-            return pa.table(empty)
-        cos = m[side == 0] @ m[side == 1].T
-        i, j = np.nonzero(cos >= least)
-        x, y, c = ids[side == 0][i], ids[side == 1][j], cos[i, j]
-        keep = x < y if t.column("p")[0].as_py() == t.column("q")[0].as_py() else x != y
-        return pa.table({"a": pa.array(np.minimum(x, y)[keep]), "b": pa.array(np.maximum(x, y)[keep]), "cosine": pa.array(c[keep])})
+        a, b, c = _near(t, least)
+        return pa.table({"a": pa.array(a), "b": pa.array(b), "cosine": pa.array(c)})
+
+    return _grid(df, key, vector, block).groupBy("p", "q").applyInArrow(product, "a bigint, b bigint, cosine double")
 
-    return grid.groupBy("p", "q").applyInArrow(product, "a bigint, b bigint, cosine double")
+
+def similar_forest(df: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding", block: int = 1024) -> DataFrame:
+    """``a, b``: links that join what :func:`similar_pairs` joins, fewer than the vectors of each task."""
+    import numpy as np
+    import pyarrow as pa
+
+    def product(t: pa.Table) -> pa.Table:
+        a, b, _ = _near(t, least)
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        u, v = at[: len(a)], at[len(a) :]
+        root = np.arange(len(nodes))
+        while True:  # the least label of the neighbours, then the label of that label
+            low = root.copy()
+            np.minimum.at(low, u, root[v])
+            np.minimum.at(low, v, root[u])
+            low = low[low]
+            if (low == root).all():
+                break
+            root = low
+        tied = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.table({"a": pa.array(nodes[root[tied]], pa.int64()), "b": pa.array(nodes[tied], pa.int64())})
+
+    return _grid(df, key, vector, block).groupBy("p", "q").applyInArrow(product, "a bigint, b bigint")
 
 
 def threshold_clusters(df: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Single-link clusters: ``id, component`` for every vector, the smallest id of its cluster."""
-    pairs = similar_pairs(df, least, key, vector)
-    return components(df.select(F.col(key).cast("bigint").alias("id")), pairs.select("a", "b"))
+    return components(df.select(F.col(key).cast("bigint").alias("id")), similar_forest(df, least, key, vector))
 
 
 def max_similarity(df: DataFrame, probes: list[list[float]], vector: str = "embedding") -> Column:

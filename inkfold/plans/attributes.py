@@ -15,8 +15,11 @@ _CUT = "SELECT doc_id, min(ord) AS cut FROM " + BLOCKS_SQL + " WHERE contains(lo
 @query("c01_prefix_cutoff", f"SELECT b.doc_id, b.ord, md5(b.text) AS text_md5 FROM {BLOCKS_SQL} b LEFT JOIN ({_CUT}) USING (doc_id) WHERE cut IS NULL OR ord < cut")
 def c01(spark, d):
     """Rows before the first one that holds the marker."""
-    seen = F.max(F.lower("text").contains("license")).over(Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-    return blocks(documents(spark, d)).withColumn("seen", seen).where(~F.col("seen")).select("doc_id", "ord", F.md5("text").alias("text_md5"))
+    # A document's lines stand together: the marker's place is found where they are.
+    lines = F.split("text", "\n")
+    marked = F.transform(lines, lambda x: F.lower(x).contains("license"))
+    end = F.coalesce(F.nullif(F.array_position(marked, True), F.lit(0)) - 1, F.size(lines))
+    return documents(spark, d).select("doc_id", F.posexplode(F.slice(lines, F.lit(1), end.cast("int"))).alias("ord", "text")).select("doc_id", "ord", F.md5("text").alias("text_md5"))
 
 
 @query("c02_non_empty_rows", r"SELECT conv_id, turn FROM conversations WHERE coalesce(nullif(trim(text), ''), nullif(trim(role), '')) IS NOT NULL AND conv_id IS NOT NULL AND regexp_matches(role, '^(user|assistant)$')")
@@ -164,11 +167,11 @@ def c23(spark, d):
 # --- scalar functions ------------------------------------------------------------
 
 
-@query("g01_case_and_trim", "SELECT n_nationkey, lower(n_name) AS lo, upper(n_name) AS up, trim('  ' || n_name || ' ') AS t, ltrim('  ' || n_name) AS l, rtrim(n_name || '  ') AS r, upper(n_name[1]) || lower(n_name[2:]) AS title FROM nation WHERE NOT contains(n_name, ' ')")
+@query("g01_case_and_trim", "SELECT n_nationkey, lower(n_name) AS lo, upper(n_name) AS up, trim('  ' || n_name || ' ') AS t, ltrim('  ' || n_name) AS l, rtrim(n_name || '  ') AS r, array_to_string(list_transform(string_split(n_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title FROM nation")
 def g01(spark, d):
     n = F.col("n_name")
     pad = lambda a, b: F.concat(F.lit(a), n, F.lit(b))
-    return table(spark, d, "nation").where(~n.contains(" ")).select("n_nationkey", F.lower(n).alias("lo"), F.upper(n).alias("up"), F.trim(pad("  ", " ")).alias("t"), F.ltrim(pad("  ", "")).alias("l"), F.rtrim(pad("", "  ")).alias("r"), F.initcap(n).alias("title"))
+    return table(spark, d, "nation").select("n_nationkey", F.lower(n).alias("lo"), F.upper(n).alias("up"), F.trim(pad("  ", " ")).alias("t"), F.ltrim(pad("  ", "")).alias("l"), F.rtrim(pad("", "  ")).alias("r"), F.initcap(n).alias("title"))
 
 
 @query("g02_find", "SELECT p_partkey, contains(p_name, 'e') AS has, starts_with(p_name, 'a') AS head, ends_with(p_name, 'e') AS tail, instr(p_name, 'e') AS first, CASE WHEN contains(p_name, 'e') THEN length(p_name) - instr(reverse(p_name), 'e') + 1 ELSE 0 END AS last, length(p_name) - length(replace(p_name, 'e', '')) AS n FROM part")
@@ -227,10 +230,11 @@ def g13(spark, d):
     return manifest(spark, d).groupBy("genre").agg(((n * (n - 1)) / 2).cast("bigint").alias("pairs"))
 
 
-@query("g14_snapshot_status", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'ok' WHEN page_id % 3 = 1 AND url <> '' THEN 'partial' ELSE 'failed' END AS status FROM pages")
+@query("g14_snapshot_status", "SELECT page_id, CASE WHEN starts_with(url, 'https://') AND length(html) >= 2000 THEN 'ok' WHEN starts_with(url, 'https://') OR length(html) >= 2000 THEN 'partial' ELSE 'failed' END AS status FROM pages")
 def g14(spark, d):
-    m = F.col("page_id") % 3
-    return table(spark, d, "pages").select("page_id", F.when(m == 0, "ok").when((m == 1) & (F.col("url") != ""), "partial").otherwise("failed").alias("status"))
+    """Ordered cases: both conditions, either, none."""
+    safe, full = F.col("url").startswith("https://"), F.length("html") >= 2000
+    return table(spark, d, "pages").select("page_id", F.when(safe & full, "ok").when(safe | full, "partial").otherwise("failed").alias("status"))
 
 
 @query("e17_cleaning", r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '[\x00-\x1F\x7F]', ' ', 'g'), ' +', ' ', 'g'))) AS clean_md5 FROM documents")

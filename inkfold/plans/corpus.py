@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkfold.functions import text as X
 from inkfold.operators import echo, lexicon
 from inkfold.plans.registry import query
-from inkfold.sources.relations import BLOCKS_SQL, MANIFEST_SQL, blocks, documents, manifest, table
+from inkfold.sources.relations import BLOCKS_SQL, HEADING_CHARS, MANIFEST_SQL, documents, manifest, table
 
 # A pattern with a lookahead has no RE2 form: all matches less those with the plural guard.
 _N = "(len(regexp_extract_all({t}, '(?i)license')) - len(regexp_extract_all({t}, '(?i)licensed')) + len(regexp_extract_all({t}, '(?i)general public license')) + len(regexp_extract_all({t}, '(?i)gnu general public license')))"
@@ -30,7 +30,7 @@ def status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parts(spark: SparkSession, d: str) -> DataFrame:
-    return lexicon.sections(blocks(documents(spark, d)))
+    return lexicon.document_sections(documents(spark, d), HEADING_CHARS)
 
 
 @query("f02_lexicon_counts", f"SELECT doc_id, n_nominal, n_variant, n_distributive FROM {COUNTS_SQL}")
@@ -61,7 +61,9 @@ _SPINE = ["en", "de", "es", "fr", "it"]
 def i04(spark, d):
     """The flagship cross-tab: term status by genre, with rows for genres that have none."""
     spine = spark.createDataFrame([(g,) for g in _SPINE], "genre string")
-    joined = manifest(spark, d).join(status(spark, d), "doc_id")
+    # Both attributes come from one scan: no join is needed.
+    hits = [X.pattern_counts(F.col("text"), lexicon.LEXICON[c]) for c in ("nominal", "variant")]
+    joined = documents(spark, d).select(F.col("lang").alias("genre"), hits[0].alias("n_nominal"), lexicon.term_status(*hits).alias("term_status"))
     n = lambda s: F.count_if(F.col("term_status") == s)
     per = joined.groupBy("genre").agg(F.count("*").alias("n_docs"), n("present").alias("n_present"), n("variant").alias("n_variant"), n("absent").alias("n_absent"), F.sum("n_nominal").alias("nominal_hits"))
     return spine.join(per, "genre", "left").na.fill(0)
@@ -100,8 +102,8 @@ def e19(spark, d):
 
 @query("e20_reassembly", f"SELECT doc_id, md5(string_agg(text, ' ' ORDER BY ord)) AS joined_md5 FROM {BLOCKS_SQL} GROUP BY doc_id")
 def e20(spark, d):
-    per = blocks(documents(spark, d)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("b"))
-    return per.select("doc_id", F.md5(F.array_join(F.transform("b", lambda x: x["text"]), " ")).alias("joined_md5"))
+    # A document's blocks are its own lines: they are joined where they stand.
+    return documents(spark, d).select("doc_id", F.md5(F.array_join(F.split("text", "\n"), " ")).alias("joined_md5"))
 
 
 _HIT = "(" + _N.format(t="text") + " + " + _V.format(t="text") + " + " + _D.format(t="text") + ")"
@@ -110,8 +112,7 @@ UNITS_SQL = f"""(WITH hit AS (SELECT printf('%d::s%02d', doc_id, section_idx) AS
 
 
 def units(spark, d):
-    docs = documents(spark, d)
-    return lexicon.coding_units(docs, lexicon.sections(blocks(docs)))
+    return lexicon.coding_units(documents(spark, d), HEADING_CHARS)
 
 
 @query("f05_coding_units", f"SELECT * FROM {UNITS_SQL}")
@@ -165,15 +166,45 @@ def f08(spark, d):
     return echo.formulaic(found).select("item_id", "doc_id", "phrase", "formulaic")
 
 
-@query("i13_echo_pairs", f"SELECT item_id, doc_id, count(*) AS n, max(n_words) AS longest FROM {ECHO_SQL} GROUP BY item_id, doc_id")
+#: Items belong to the family whose article word they hold first in this order.
+_FAMILY_SQL = "CASE WHEN contains(lower(text), ' the ') THEN 'en' WHEN contains(lower(text), ' der ') THEN 'de' WHEN contains(lower(text), ' les ') THEN 'fr' ELSE 'es' END"
+FAMILY_ECHO_SQL = rf"""(SELECT e.*, lang AS family, CASE WHEN DATE '2025-04-01' < m.date THEN 'government' WHEN m.date < DATE '2025-04-01' THEN 'company' ELSE 'same_day' END AS published_first
+ FROM {ECHO_SQL} e JOIN documents d USING (doc_id) JOIN (SELECT item_id, {_FAMILY_SQL} AS family FROM benchmark) i ON i.item_id = e.item_id AND i.family = d.lang JOIN {MANIFEST_SQL} m ON m.doc_id = d.doc_id)"""
+
+
+def family_echoes(spark, d):
+    """Echoes of items in documents of their own family, and which side was first; items are of 1 April 2025."""
+    t = F.lower("text")
+    family = F.when(t.contains(" the "), "en").when(t.contains(" der "), "de").when(t.contains(" les "), "fr").otherwise("es")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("doc"), "text", family.alias("family"))
+    found = echo.shared_phrases(items, documents(spark, d).select(F.col("doc_id").alias("doc"), "text", F.col("lang").alias("family")))
+    dated = found.join(manifest(spark, d).select(F.col("doc_id").alias("b"), "date"), "b")
+    day = F.lit("2025-04-01").cast("date")
+    first = F.when(day < F.col("date"), "government").when(F.col("date") < day, "company").otherwise("same_day")
+    return dated.select(F.col("a").alias("item_id"), F.col("b").alias("doc_id"), "n_words", "phrase", "family", first.alias("published_first"))
+
+
+@query("d08_echoes_within_family", f"SELECT family, item_id, doc_id, n_words, phrase, published_first FROM {FAMILY_ECHO_SQL}")
+def d08(spark, d):
+    return family_echoes(spark, d)
+
+
+@query("i13_echo_pairs", f"SELECT item_id, doc_id, count(*) AS n, max(n_words) AS longest, arg_max(phrase, {{'n': n_words, 'p': phrase}}) AS phrase FROM {ECHO_SQL} GROUP BY item_id, doc_id")
 def i13(spark, d):
-    return echoes(spark, d).groupBy("item_id", "doc_id").agg(F.count("*").alias("n"), F.max("n_words").alias("longest"))
+    """Echoes of each pair, and the longest one (of equal ones the last in order)."""
+    return echoes(spark, d).groupBy("item_id", "doc_id").agg(F.count("*").alias("n"), F.max("n_words").alias("longest"), F.max_by("phrase", F.struct("n_words", "phrase")).alias("phrase"))
 
 
-@query("i15_echo_by_family", f"SELECT lang AS family, count(*) AS n, max(n_words) AS longest, CAST(sum(n_words) AS BIGINT) AS words FROM {ECHO_SQL} JOIN documents USING (doc_id) GROUP BY lang")
+@query("i15_echo_by_family", f"""WITH e AS (SELECT * FROM {FAMILY_ECHO_SQL}), f AS (SELECT phrase, count(DISTINCT family) >= 2 AS formulaic FROM e GROUP BY phrase)
+SELECT family, count(*) AS n, count(*) FILTER (formulaic) AS n_formulaic, max(n_words) FILTER (NOT formulaic) AS longest, arg_max(phrase, {{'n': n_words, 'p': phrase}}) FILTER (NOT formulaic) AS phrase,
+ (SELECT published_first FROM e x WHERE x.family = e.family GROUP BY published_first ORDER BY count(*) DESC, published_first LIMIT 1) AS first FROM e JOIN f USING (phrase) GROUP BY family""")
 def i15(spark, d):
-    found = echoes(spark, d).join(documents(spark, d).select("doc_id", F.col("lang").alias("family")), "doc_id")
-    return found.groupBy("family").agg(F.count("*").alias("n"), F.max("n_words").alias("longest"), F.sum("n_words").alias("words"))
+    """Per family: formulaic echoes and others, the longest of the others, and which side was first most often."""
+    found = echo.formulaic(family_echoes(spark, d))
+    other = ~F.col("formulaic")
+    per = found.groupBy("family").agg(F.count("*").alias("n"), F.count_if("formulaic").alias("n_formulaic"), F.max(F.when(other, F.col("n_words"))).alias("longest"), F.max_by("phrase", F.when(other, F.struct("n_words", "phrase"))).alias("phrase"))
+    votes = found.groupBy("family", "published_first").agg(F.count("*").alias("v")).groupBy("family").agg(F.min_by("published_first", F.struct(-F.col("v"), "published_first")).alias("first"))
+    return per.join(votes, "family")
 
 
 @query("f06_ngram_text", rf"SELECT doc_id, md5({_NORM.format(t='text')}) AS norm_md5 FROM documents")
@@ -189,9 +220,9 @@ ALIASES = ["gnu general public license", "general public license", "apache licen
 
 def _masked_sql() -> str:
     """The same fold in SQL: one level of masking per alias, longest first."""
-    sql = "SELECT doc_id, lower(text) AS t FROM documents"
+    sql = "SELECT doc_id, lower(text) AS t, lower(string_split(text, chr(10))[1]) AS own FROM documents"
     for k, a in enumerate(sorted(ALIASES, key=len, reverse=True)):
-        n = f"(length(t) - length(replace(t, '{a}', ''))) // {len(a)} AS n{ALIASES.index(a)}"
+        n = f"CASE WHEN contains(own, '{a}') THEN 0 ELSE (length(t) - length(replace(t, '{a}', ''))) // {len(a)} END AS n{ALIASES.index(a)}"
         sql = f"SELECT * EXCLUDE (t), {n}, replace(t, '{a}', '{'#' * len(a)}') AS t FROM ({sql}) s{k}"
     names = ", ".join(f"CAST(n{i} AS BIGINT) AS \"{a}\"" for i, a in enumerate(ALIASES))
     return f"SELECT doc_id, {names} FROM ({sql})"
@@ -199,7 +230,10 @@ def _masked_sql() -> str:
 
 @query("f09_masked_references", f"SELECT * FROM (UNPIVOT ({_masked_sql()}) ON COLUMNS(* EXCLUDE doc_id) INTO NAME target VALUE count) WHERE count > 0")
 def f09(spark, d):
-    n, _ = X.masked_counts(F.lower("text"), ALIASES)
+    # What a document's first line names is its own title: masked, but no reference.
+    title = F.lower(F.get(F.split("text", "\n"), F.lit(0)))
+    own = F.array_compact(F.array(*(F.when(title.contains(a), a) for a in ALIASES)))
+    n, _ = X.masked_counts(F.lower("text"), ALIASES, own)
     rows = documents(spark, d).select("doc_id", F.array(*(F.struct(F.lit(a).alias("target"), c.alias("count")) for a, c in zip(ALIASES, n))).alias("r"))
     return rows.select("doc_id", F.explode(F.filter("r", lambda r: r["count"] > 0)).alias("r")).select("doc_id", "r.target", "r.count")
 
@@ -221,8 +255,13 @@ def f17(spark, d):
     return documents(spark, d).where(t.contains("apache license")).select("doc_id", X.snippet(t, needle).alias("evidence"))
 
 
-@query("f10_company_agreement", r"SELECT doc_id, lang AS family FROM documents WHERE (contains(lower(text), 'license') OR regexp_matches(lower(text), '\bmit\b')) AND contains(lower(text), CASE lang WHEN 'en' THEN 'apache' WHEN 'de' THEN 'gnu' WHEN 'fr' THEN 'mit' ELSE 'cc' END)")
+_OMNIBUS = "src0"
+
+
+@query("f10_company_agreement", rf"SELECT doc_id, lang AS family FROM documents WHERE (contains(lower(text), 'license') OR regexp_matches(lower(text), '\bmit\b')) AND (contains(lower(text), CASE lang WHEN 'en' THEN 'apache' WHEN 'de' THEN 'gnu' WHEN 'fr' THEN 'mit' ELSE 'cc' END) OR source = '{_OMNIBUS}' AND regexp_matches(lower(text), 'apache|gnu|mit|cc'))")
 def f10(spark, d):
+    """The instrument, and the token of the document's own family; the omnibus source may name any family's."""
     t = F.lower("text")
     token = F.when(F.col("lang") == "en", "apache").when(F.col("lang") == "de", "gnu").when(F.col("lang") == "fr", "mit").otherwise("cc")
-    return documents(spark, d).where((t.contains("license") | t.rlike(r"\bmit\b")) & t.contains(token)).select("doc_id", F.col("lang").alias("family"))
+    named = t.contains(token) | ((F.col("source") == _OMNIBUS) & t.rlike("apache|gnu|mit|cc"))
+    return documents(spark, d).where((t.contains("license") | t.rlike(r"\bmit\b")) & named).select("doc_id", F.col("lang").alias("family"))

@@ -40,13 +40,46 @@ def b04(spark, d):
     return files.read_jsonl(spark, path, "item_id bigint, text string").select("item_id", F.length("text").cast("bigint").alias("chars"))
 
 
-@query("b06_merge_overwrite", f"SELECT unit, question, ordinal, 'old' AS run FROM {RECORDS_SQL} WHERE question <> 'view' UNION ALL SELECT unit, question, ordinal, 'new' FROM {RECORDS_SQL} WHERE question = 'view' AND ordinal % 2 = 0")
+@query("b06_merge_overwrite", f"SELECT unit, question, ordinal, CASE WHEN question = 'view' THEN 'new' ELSE 'old' END AS run FROM {RECORDS_SQL} WHERE question <> 'view' OR confidence > 50")
 def b06(spark, d):
-    """New records replace all old ones of their question; the others stay."""
+    """New records replace all old ones of their question on disk; the others stay."""
+    path = shared_path(spark, "merged")
+    r = records(spark, d).select("unit", "question", "ordinal", "confidence")
+    files.merge_overwrite(r.withColumn("run", F.lit("old")).drop("confidence"), path, "question", ["unit", "ordinal"])
+    files.merge_overwrite(r.where("question = 'view' AND confidence > 50").withColumn("run", F.lit("new")).drop("confidence"), path, "question", ["unit", "ordinal"])
+    return spark.read.schema("unit bigint, ordinal bigint, run string, question string").parquet(path).select("unit", "question", "ordinal", "run")
+
+
+_COVER_SQL = "(SELECT count(*) AS n, count(l.doc_id) AS m FROM documents d LEFT JOIN labels l USING (doc_id))"
+
+
+@query("b03_partial_banner", f"SELECT lang, n, CASE WHEN m * 1000 < t.n_all * 995 THEN 'STATUS: PARTIAL (' || m || ' of ' || t.n_all || ')' END AS note FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang), (SELECT n AS n_all, m FROM {_COVER_SQL}) t")
+def b03(spark, d):
+    """Counts by language in a CSV that says how much of the corpus is labelled, if it is not all of it."""
+    path = shared_path(spark, "banner")
+    docs = documents(spark, d)
+    total, covered = docs.count(), docs.select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").count()
+    files.write_with_banner(docs.groupBy("lang").agg(F.count("*").alias("n")), path, covered, total)
+    note = [r.note for r in files.csv_notes(spark, path).collect()]
+    back = files.read_csv(spark, path, "lang string, n bigint", comment="#")
+    return back.withColumn("note", F.lit(note[0].strip() if note else None).cast("string"))
+
+
+@query("b08_yaml_guidebook", "SELECT l_returnflag AS class, l_linestatus AS pattern FROM lineitem GROUP BY 1, 2")
+def b08(spark, d):
+    """A small table as YAML text and back: classes and what belongs to them."""
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("class"), F.col("l_linestatus").alias("pattern")).distinct()
+    return files.read_yaml(spark, files.to_yaml(rows))
+
+
+@query("a08_json_lines_of_several_files", f"SELECT unit, question, ordinal FROM {RECORDS_SQL} WHERE question NOT IN ('error', 'view') AND ordinal IS NOT NULL")
+def a08(spark, d):
+    """JSON lines of several folders; those whose names are excluded or begin with CONTEXT_ are not read."""
+    base = shared_path(spark, "lines")
     r = records(spark, d).select("unit", "question", "ordinal")
-    new = r.where("question = 'view' AND ordinal % 2 = 0").withColumn("run", F.lit("new"))
-    old = r.withColumn("run", F.lit("old")).join(F.broadcast(new.select("question").distinct()), "question", "left_anti")
-    return old.select(*new.columns).unionByName(new)
+    named = r.withColumn("file", F.when(F.col("question") == "view", "CONTEXT_view").when(F.col("question") == "error", "doc_profiles").otherwise(F.col("question")))
+    named.write.partitionBy("file").json(base)
+    return files.read_json_lines(spark, base, "unit bigint, question string, ordinal bigint", "file", ["doc_profiles"], "CONTEXT_")
 
 
 @query("b11_run_history", f"SELECT question, count(*) AS calls, 2 AS runs FROM {RECORDS_SQL} GROUP BY question")
@@ -80,9 +113,9 @@ def e14(spark, d):
     return found.where(~F.col("heading").rlike(r"[.!?:]\s*$"))
 
 
-@query("g07_ascii_folding", r"SELECT doc_id, md5(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')) AS folded_md5 FROM documents WHERE lang IN ('fr', 'es')")
+@query("g07_ascii_folding", r"SELECT doc_id, md5(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')) AS folded_md5 FROM documents")
 def g07(spark, d):
-    return documents(spark, d).where(F.col("lang").isin("fr", "es")).select("doc_id", F.md5(X.ascii_folded("text")).alias("folded_md5"))
+    return documents(spark, d).select("doc_id", F.md5(X.ascii_folded("text")).alias("folded_md5"))
 
 
 @query("g12_html_escape", "SELECT page_id, md5(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS escaped_md5 FROM pages")

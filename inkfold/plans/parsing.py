@@ -216,12 +216,15 @@ def a02(spark, d):
     return keep_last(records(spark, d).select("unit", "question", "ordinal"), ["unit"], "ordinal").select("unit", "question")
 
 
-@query("a03_commented_csv", "SELECT n_nationkey, n_name FROM nation")
+@query("a03_commented_csv", "SELECT n_nationkey, n_name, 'STATUS partial' AS note FROM nation")
 def a03(spark, d):
+    """The rows, and the note that stands before them."""
     path = shared_path(spark, "commented")
     note = spark.createDataFrame([("# STATUS partial",)], "value string")
     note.unionByName(table(spark, d, "nation").select(F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name").alias("value"))).write.text(path)
-    return spark.read.schema("n_nationkey int, n_name string").option("comment", "#").csv(path)
+    said = files.csv_notes(spark, path).select(F.trim("note").alias("note"))
+    rows = spark.read.schema("n_nationkey int, n_name string").option("comment", "#").csv(path)
+    return rows.crossJoin(F.broadcast(said.limit(1)))  # one line
 
 
 @query("a04_typed_counts", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE n_chars END AS n FROM documents")
@@ -268,10 +271,10 @@ def b05(spark, d):
     return spark.read.schema("doc_id bigint, version string, lang string").parquet(path)
 
 
-@query("b07_json_graph", f"SELECT unit, count(*) AS n FROM {RECORDS_SQL} WHERE question = 'signup' GROUP BY unit")
+@query("b07_json_graph", f"SELECT unit, count(*) AS n FROM {RECORDS_SQL} GROUP BY unit")
 def b07(spark, d):
     path = shared_path(spark, "graph")
-    e = records(spark, d).where("question = 'signup'").groupBy("unit").agg(F.collect_list(F.struct("ordinal", "confidence")).alias("edges"))
+    e = records(spark, d).groupBy("unit").agg(F.collect_list(F.struct("ordinal", "confidence")).alias("edges"))
     e.select(F.to_json(F.struct("unit", "edges")).alias("value")).write.text(path)
     back = spark.read.schema("unit bigint, edges array<struct<ordinal:bigint,confidence:double>>").json(path)
     return back.select("unit", F.size("edges").cast("bigint").alias("n"))
@@ -284,10 +287,13 @@ def b09(spark, d):
     return spark.read.schema("vec_id bigint, v array<float>").parquet(path).select("vec_id", F.size("v").cast("bigint").alias("dims"))
 
 
-@query("b10_append_with_new_columns", "SELECT doc_id, lang, CAST(NULL AS VARCHAR) AS note FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, lang, 'late' FROM documents WHERE doc_id % 2 = 1")
+@query("b10_append_with_new_columns", "SELECT doc_id, lang, NULL AS note FROM documents WHERE n_chars < 500 UNION ALL SELECT doc_id, lang, 'late' FROM documents WHERE n_chars >= 500")
 def b10(spark, d):
-    docs = documents(spark, d).select("doc_id", "lang")
-    return docs.where("doc_id % 2 = 0").unionByName(docs.where("doc_id % 2 = 1").withColumn("note", F.lit("late")), allowMissingColumns=True)
+    """Rows with a column more are appended; the rows before have none of it."""
+    path = shared_path(spark, "appended")
+    docs = documents(spark, d)
+    files.append(docs.where("n_chars < 500").select("doc_id", "lang"), path)
+    return files.append_with_union(docs.where("n_chars >= 500").select("doc_id", "lang", F.lit("late").alias("note")), path)
 
 
 # --- coding ------------------------------------------------------------------------------
@@ -311,6 +317,59 @@ def h06(spark, d):
     return r.groupBy("question").agg(F.count("*").alias("calls"), F.count_if("applies").alias("applies"), F.count_if(F.coalesce("verified", F.lit(False))).alias("verified"))
 
 
+def busy_coder(prompt: str, passage: str) -> str:
+    """The word coder behind a service that refuses every first call of a passage."""
+    seen = busy_coder.__dict__.setdefault("seen", set())
+    if (key := hash((prompt, passage))) not in seen:
+        seen.add(key)
+        raise coding.TransientError("429")
+    return coding.word_coder(prompt, passage)
+
+
+@query("h01_retried_calls", "SELECT printf('%d::full', doc_id) AS unit_id, w AS question, contains(lower(text), w) AS applies, CAST(NULL AS VARCHAR) AS error FROM documents, (VALUES ('public'), ('license')) t(w)")
+def h01(spark, d):
+    """A service that is busy at first: calls are made again, and no row is lost."""
+    return coding.code_units(tasks(spark, d), busy_coder).select("unit_id", "question", "applies", "error")
+
+
+@query("h03_document_function", "SELECT doc_id, CASE WHEN contains(lower(left(text, 12000)), 'license') THEN 'legal' ELSE 'other' END AS profile, lang AS genre FROM documents")
+def h03(spark, d):
+    """One call for each document, with its context line and its first 12,000 characters."""
+    docs = documents(spark, d).select("doc_id", F.concat_ws(" | ", "lang", "source").alias("context"), F.left("text", F.lit(12_000)).alias("passage"))
+
+    def profile(prompt: str, passage: str) -> str:
+        return '{"profile": "%s", "genre": "%s"}' % ("legal" if "license" in passage.lower() else "other", prompt.split(" | ")[0])
+
+    return coding.profile_documents(docs, profile, ["profile", "genre"]).select("doc_id", "profile", "genre")
+
+
+@query("h07_embedding_function", "SELECT doc_id, CAST(768 AS BIGINT) AS dims, round(CASE WHEN length(text) > 0 THEN 1.0 ELSE 0.0 END, 6) AS norm FROM documents")
+def h07(spark, d):
+    """Texts to unit vectors by an encoder that is given: here hashed letters."""
+    v = coding.embed(documents(spark, d).select("doc_id", "text"), coding.letter_encoder, dims=768)
+    return v.select("doc_id", F.size("embedding").cast("bigint").alias("dims"), F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 5).alias("norm"))
+
+
+@query("h08_probe_before_overwrite", "SELECT item_id, 'kept' AS run FROM benchmark")
+def h08(spark, d):
+    """A service that does not answer leaves the last output as it is."""
+    path = shared_path(spark, "probed")
+    items = table(spark, d, "benchmark").select("item_id")
+    coding.write_if_available(lambda: True, items.withColumn("run", F.lit("kept")), path)
+    coding.write_if_available(lambda: 1 / 0, items.withColumn("run", F.lit("new")), path)
+    return spark.read.schema("item_id bigint, run string").parquet(path)
+
+
+@query("h05_resumed_run", "SELECT printf('%d::full', doc_id) AS unit_id, w AS question, CASE WHEN w = 'license' THEN 1 ELSE 2 END AS run FROM documents, (VALUES ('public'), ('license')) t(w)")
+def h05(spark, d):
+    """A run that stopped half way is taken up: only pairs without a record are coded, and what was flushed stays."""
+    path = shared_path(spark, "records")
+    t = tasks(spark, d)
+    for run, some in ((1, t.where("question = 'license'")), (2, t)):
+        coding.resume(some, coding.word_coder, path, run)
+    return coding.flushed(spark, path).select("unit_id", "question", "run")
+
+
 @query("n03_resumable_queue", f"SELECT printf('%d::full', doc_id) AS unit_id, w AS question FROM documents, (VALUES ('public'), ('license')) t(w) WHERE NOT (w = 'public' AND contains(lower(text), 'public'))")
 def n03(spark, d):
     t = tasks(spark, d).select("unit_id", "question", "passage")

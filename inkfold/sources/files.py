@@ -22,17 +22,22 @@ def count_or_zero(c: Column) -> Column:
 
 
 def read_json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One document in each file, over as many lines as it takes."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str, skip: list[str] | None = None) -> DataFrame:
-    """JSON lines of all matching files but those named; undecodable lines are dropped.
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines; blank and undecodable ones are dropped."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
-    ``file`` and a per-file ordinal would be the semantic order; files carry an
-    explicit ordinal instead, which survives any partitioning.
+
+def read_json_lines(spark: SparkSession, base: str, schema: str, by: str, skip: list[str], prefix: str) -> DataFrame:
+    """JSON lines of the folders ``by=name`` under ``base``, without the names in ``skip`` and those that begin with ``prefix``.
+
+    Folders that are left out are pruned before anything is read.
     """
-    df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    return df.where(~F.col("_metadata.file_name").isin(skip)) if skip else df
+    df = spark.read.schema(f"{schema}, {by} string").option("mode", "DROPMALFORMED").json(base)
+    return df.where(~F.col(by).isin(skip) & ~F.col(by).startswith(prefix)).drop(by)
 
 
 def first_tier(tiers: dict[str, tuple[Column, int]]) -> Column:
@@ -59,6 +64,36 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_with_union(df: DataFrame, path: str) -> DataFrame:
+    """Append rows that may have new columns; the table then has the columns of both, null where a file has none.
+
+    Old files stay as they are: the schemas are merged when the table is read, and
+    returned with it.
+    """
+    append(df, path)
+    return df.sparkSession.read.option("mergeSchema", True).parquet(path)
+
+
+def merge_overwrite(new: DataFrame, path: str, by: str, order: list[str]) -> None:
+    """Replace the ``by`` values that ``new`` has, keep the others; every partition is sorted by ``order``.
+
+    The table is partitioned by ``by``: partitions without new rows are not touched.
+    """
+    rows = new.repartition(by).sortWithinPartitions(by, *order)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def write_with_banner(df: DataFrame, path: str, covered: int, total: int, least: float = 0.995) -> None:
+    """A CSV whose first line says ``# STATUS: PARTIAL``, with the coverage, unless ``least`` of it is covered.
+
+    The line is a file of its own that sorts before the rows' files.
+    """
+    write_csv(df, path)
+    if covered < least * total:
+        line = df.sparkSession.createDataFrame([(f"# STATUS: PARTIAL ({covered} of {total})",)], "value string")
+        line.coalesce(1).write.mode("append").text(path)
+
+
 def read_yaml(spark: SparkSession, text: str) -> DataFrame:
     """A small configuration ``{class: [pattern, ...]}`` as ``class, pattern`` rows."""
     import yaml

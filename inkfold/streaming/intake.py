@@ -12,31 +12,37 @@ from pyspark.sql import functions as F
 
 
 def stream_parquet(spark: SparkSession, path: str, like: DataFrame, files_per_batch: int = 1) -> DataFrame:
-    """A file stream with the schema of a table at hand; nothing is inferred.
+    """A stream of the Parquet files in a folder, with the schema of a table at hand; nothing is inferred.
 
-    The path is given as a pattern, which lets it be one file or a folder of files.
+    One file that is no folder is streamed as the only file of its folder that has its name.
     """
-    pattern = f"{path[:-1]}[{path[-1]}]"
-    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
+    folder, name = path.rstrip("/"), None
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory():
+        folder, _, name = folder.rpartition("/")
+    reader = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_batch)
+    if name is not None:
+        reader = reader.option("pathGlobFilter", "".join(f"\\{c}" if c in "*?[]{}\\" else c for c in name))
+    return reader.parquet(folder)
 
 
 def admit(arrivals: DataFrame, rule: Column, target: str, checkpoint: str, key: str = "doc_id") -> None:
     """Append what passes the rule to ``target``, once for each key; runs until nothing is left.
 
-    Each micro-batch writes its own folder, so one that is repeated after a
-    failure replaces its own rows only.
+    Each micro-batch writes its own folder, so one that is repeated after a failure
+    replaces its own rows only.  Rows are dealt over ``bucket`` folders by a hash of
+    their key: a batch reads the keys of its own buckets, and no other column.
     """
+    buckets = 64
 
     def take(batch: DataFrame, number: int) -> None:
-        new = batch.where(rule).dropDuplicates([key])
         spark = batch.sparkSession
-        old = f"{target}/batch=*"
-        try:
-            new = new.join(spark.read.option("basePath", target).parquet(old).where(F.col("batch") != number).select(key), key, "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        new = batch.where(rule).dropDuplicates([key]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        root = spark._jvm.org.apache.hadoop.fs.Path(target)
+        if root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+            old = spark.read.schema(f"{key} bigint, batch int, bucket int").option("basePath", target).parquet(f"{target}/batch=*")
+            new = new.join(old.where(F.col("batch") != number).select(key, "bucket"), [key, "bucket"], "left_anti")
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batch={number}")
 
     arrivals.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

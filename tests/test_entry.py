@@ -56,7 +56,7 @@ sys.path.insert(0, {root!r})
 class Absent:
     def find_spec(self, name, path=None, target=None):
         if name.startswith('inkfold.llm') or name == 'corpus_pipeline':
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Absent())
 import __spark_entry__ as e
 assert not any(k.startswith('op') for k in e.queries()) and 'pipeline' not in e.queries()

@@ -34,8 +34,17 @@ def test_sections_begin_at_headings(spark):
 @pytest.mark.parametrize(("size", "units"), [(9000, 1), (9001, 0)])
 def test_whole_document_only_when_short(spark, size, units):
     docs = spark.createDataFrame([(1, "x" * size)], "doc_id bigint, text string")
-    parts = lexicon.sections(block_rows(spark, {1: [("title", "x" * size)]}))
-    assert lexicon.coding_units(docs, parts).count() == units
+    assert lexicon.coding_units(docs, 30).count() == units
+
+
+def test_sections_in_the_scan_equal_those_of_blocks(spark):
+    texts = {1: "Title\nA\nx" + "y" * 40 + "\nB\nC", 2: "only", 3: "", 4: "T\n" + "z" * 31 + "\n\n" + "w" * 31}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    cols = ("doc_id", "section_idx", "heading", "n_blocks", "text")
+    b = {i: [("title" if k == 0 else "section_heading" if len(t) <= 30 else "body", t) for k, t in enumerate(x.split("\n"))] for i, x in texts.items()}
+    assert rows(lexicon.document_sections(docs, 30).select(*cols)) == rows(lexicon.sections(block_rows(spark, b)).select(*cols))
+    hit = spark.createDataFrame([(1, "T\nH\n" + "licensed " * 9), (2, "licensed"), (3, "x"), (4, "x" * 9001)], "doc_id bigint, text string")
+    assert [r.unit_id for r in lexicon.coding_units(hit, 30).orderBy("unit_id").collect()] == ["1::s01", "2::s00", "3::full"]
 
 
 def test_top_k_before_threshold_before_taken(spark):
@@ -84,7 +93,16 @@ def test_mode_tie_goes_to_the_first(spark):
 def test_keep_last_and_first_n(spark):
     df = spark.createDataFrame([(1, "a", 1), (1, "b", 3), (1, "c", 2)], "k int, v string, o int")
     assert rows(aggregates.keep_last(df, ["k"], "o")) == [(1, "b", 3)]
-    assert df.groupBy("k").agg(aggregates.first_n(F.col("v"), F.col("o"), 2).alias("f")).collect()[0].f == ["a", "c"]
+    assert aggregates.first_n(df, ["k"], F.col("v"), "o", 2, "f").collect()[0].f == ["a", "c"]
+
+
+def test_positions_in_few_large_groups(spark):
+    df = spark.range(1000).select((F.col("id") % 3 == 0).alias("g"), F.xxhash64("id").alias("a"), "id").repartition(7)
+    want, seen = {}, {True: 0, False: 0}
+    for r in sorted(df.collect(), key=lambda r: (r.a, r.id)):
+        seen[r.g] += 1
+        want[r.id] = seen[r.g]
+    assert {r.id: r.position for r in aggregates.numbered(df, "g", ["a", "id"]).collect()} == want
 
 
 def union_find(n, edges):
@@ -143,10 +161,99 @@ def test_label_propagation_is_stable(spark):
     assert len({by[i] for i in (0, 1, 2)}) == len({by[i] for i in (10, 11, 12)}) == 1 and by[0] != by[10]
 
 
+def test_greedy_modularity_ends_where_no_merger_gains(spark):
+    rnd = random.Random(7)
+    edges = {}
+    for _ in range(160):
+        a, b = sorted((rnd.randrange(40), rnd.randrange(40)))
+        if a != b and (a % 4 == b % 4 or rnd.random() < 0.15):
+            edges[a, b] = edges.get((a, b), 0) + 1
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "a bigint, b bigint, weight bigint")
+    by = {r.id: r.community for r in graph.greedy_modularity(df).collect()}
+    m = sum(edges.values())
+
+    def quality(by):
+        inside, degree = 0, {}
+        for (a, b), w in edges.items():
+            inside += w * (by[a] == by[b])
+            for x in (a, b):
+                degree[by[x]] = degree.get(by[x], 0) + w
+        return inside / m - sum(x * x for x in degree.values()) / (4 * m * m)
+
+    names = sorted(set(by.values()))
+    assert set(by) == {x for e in edges for x in e} and all(min(i for i in by if by[i] == c) == c for c in names)
+    best = quality(by)
+    assert best > 0.3 and best > quality({i: i for i in by})
+    for a, b in itertools.combinations(names, 2):
+        assert quality({i: a if c == b else c for i, c in by.items()}) <= best + 1e-9
+    got = graph.modularity(df, spark.createDataFrame(list(by.items()), "id bigint, community bigint")).collect()[0].modularity
+    assert got == pytest.approx(best)
+    assert graph.greedy_modularity(df.limit(0)).count() == 0
+
+
 def test_quotas_sum_to_k(spark):
     df = spark.createDataFrame([("a", i) for i in range(25)] + [("b", 100 + i) for i in range(5)] + [("c", 200)], "g string, id bigint")
     got = {r.g: r["count"] for r in sampling.stratified(df, "g", "id", 10).groupBy("g").count().collect()}
     assert sum(got.values()) == 10 and set(got) == {"a", "b", "c"}
+    of = df.withColumn("f", F.when(F.col("id") < 3, F.col("id")).otherwise(9))
+    taken = [r.f for r in sampling.stratified(of, "g", "id", 10, diverse="f").where("g = 'a'").collect()]
+    assert {0, 1, 2, 9} == set(taken)
+
+
+def test_sinks_that_merge_append_and_warn(spark, tmp_path):
+    at = lambda name: f"file://{tmp_path}/{name}"
+    old = spark.createDataFrame([("x", 2), ("x", 1), ("y", 3)], "k string, v int")
+    files.merge_overwrite(old, at("merge"), "k", ["v"])
+    files.merge_overwrite(spark.createDataFrame([("x", 9), ("z", 4)], "k string, v int"), at("merge"), "k", ["v"])
+    assert rows(spark.read.schema("v int, k string").parquet(at("merge")).select("k", "v")) == [("x", 9), ("y", 3), ("z", 4)]
+    files.append(old, at("append"))
+    assert rows(files.append_with_union(spark.createDataFrame([("w", 5, "n")], "k string, v int, note string"), at("append"))) == [("w", 5, "n"), ("x", 1, None), ("x", 2, None), ("y", 3, None)]
+    for covered, note in ((99, ["STATUS: PARTIAL (99 of 100)"]), (100, [])):
+        files.write_with_banner(old, at("banner"), covered, 100)
+        assert [r.note for r in files.csv_notes(spark, at("banner")).collect()] == note
+        assert rows(files.read_csv(spark, at("banner"), "k string, v int", comment="#")) == rows(old)
+    (tmp_path / "doc.json").write_text('{\n "a": 1,\n "b": [2, 3]\n}')
+    assert rows(files.read_json_documents(spark, at("doc.json"), "a int, b array<int>")) == [(1, [2, 3])]
+
+
+def test_remote_functions_and_what_fails(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "c", "long"), (2, "c", "bad"), (3, None, None)], "doc_id bigint, context string, passage string")
+
+    def coder(context, passage):
+        return {"bad": "no json", "": '{"x": null}'}.get(passage, '{"x": 5}')
+
+    got = rows(coding.profile_documents(docs, coder, ["x"]))
+    assert got == [(1, "5", None), (2, None, "no JSON object in the answer"), (3, None, None)]
+    v = coding.embed(spark.createDataFrame([(1, "ab"), (2, None)], "doc_id bigint, text string"), coding.letter_encoder, 768)
+    by = {r.doc_id: r.embedding for r in v.collect()}
+    assert by[1][ord("a")] == pytest.approx(0.5**0.5, abs=1e-6) and not any(by[2]) and len(by[2]) == 768
+    path, calls = f"file://{tmp_path}/out", []
+    assert coding.write_if_available(lambda: calls.append(1), spark.range(2), path)
+    assert not coding.write_if_available(lambda: 1 / 0, spark.range(9), path) and spark.read.parquet(path).count() == 2
+    busy = []
+
+    def service(prompt, passage):
+        busy.append(1)
+        if len(busy) < 3:
+            raise coding.TransientError("429")
+        return "{}"
+
+    assert coding.with_retry(service)("p", "t") == "{}" and len(busy) == 3
+    with pytest.raises(coding.TransientError):
+        coding.with_retry(lambda p, t: (_ for _ in ()).throw(coding.TransientError("429")))("p", "t")
+
+
+def test_intake_of_a_folder_and_of_one_file(spark, tmp_path):
+    from inkfold.streaming import intake
+
+    like = spark.createDataFrame([], "doc_id bigint, n bigint")
+    for name, ids in (("a[1].parquet", [1, 2, 3]), ("b.parquet", [3, 4])):
+        spark.createDataFrame([(i, i) for i in ids], "doc_id bigint, n bigint").coalesce(1).toPandas().to_parquet(tmp_path / name)
+    for source, want in ((f"file://{tmp_path}/", {1, 2, 4}), (f"file://{tmp_path}/a[1].parquet", {1, 2})):
+        out = f"file://{tmp_path}-out-{len(want)}"
+        intake.admit(intake.stream_parquet(spark, source, like), F.col("n") != 3, f"{out}/table", f"{out}/checkpoint")
+        got = [r.doc_id for r in spark.read.schema("doc_id bigint, batch int").parquet(f"{out}/table").collect()]
+        assert sorted(got) == sorted(want)
 
 
 def prose_of(n):
