@@ -280,7 +280,6 @@ def _across(open_: DataFrame, sets: DataFrame, shingle_family: tuple[int, int, i
                         root[root == b] = a
                         found.append((names[node[i]], names[node[j]]))
         u, v = zip(*found) if found else ([], [])
-        trim()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return held.unionByName(asked).groupBy("main", "part", "turn").applyInArrow(compare, "u bigint, v bigint")
