@@ -14,9 +14,12 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 _own_dir: str | None = None
 
@@ -91,6 +94,21 @@ def keyed(df: DataFrame, id_col: str, text_col: str | None, *, null_text: str |
     return df.select(*cols).where("id IS NOT NULL")
 
 
+def mapped(df: DataFrame, run: Callable, schema: StructType) -> DataFrame:
+    """``mapInArrow`` over all columns, whatever characters their names have: batches come with names c0, c1, ...
+
+    ``run`` yields batches whose columns stand in the order of ``schema``.
+    """
+    small_batches(df.sparkSession)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, [f"c{k}" for k in range(b.num_columns)])
+
+    plain = StructType([StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(schema)])
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(named, plain).toDF(*schema.names)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -105,8 +123,6 @@ def trim() -> None:
     """Give freed memory of a Python worker back to the system: workers are kept and used again."""
     import ctypes
 
-    import pyarrow as pa
-
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

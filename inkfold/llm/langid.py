@@ -34,8 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from inkfold.llm.common import small_batches, trim
+from inkfold.llm.common import mapped, small_batches, trim
 
 UNDETERMINED = "und"
 _OTHER = re.compile(r"[\W\d_]+")
@@ -297,11 +298,10 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", lang_col: str
     The model (``2**bits`` rows, a fixed size) goes to the executors once, as a
     broadcast variable.
     """
-    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
-    schema = df.drop(lang_col, score_col).schema.add(lang_col, "string").add(score_col, "double")
     kept = [i for i, c in enumerate(df.columns) if c not in (lang_col, score_col)]
+    schema = StructType([df.schema[i] for i in kept]).add(lang_col, "string").add(score_col, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -309,4 +309,4 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", lang_col: str
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*(b.schema.names[i] for i in kept), lang_col, score_col])
         trim()
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)

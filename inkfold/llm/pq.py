@@ -15,12 +15,16 @@ than one block of each, however large a list or a label is.  A task returns a
 count for each visitor and a spanning forest of its links: never the pairs.
 
 Bound: centres and code books are fitted on at most ``sample`` vectors, those with
-the smallest hashes; every vector is indexed and looked up.
+the smallest hashes, and on ``SAMPLE_BYTES`` of them at most; every vector is indexed
+and looked up.  Lists grow with the vectors until a list has too few of the sample to
+be fitted on.
 
 Defined cases: a vector that is null, zero, empty, or holds a null or non-finite
 component, or whose label is null, is linked with nothing; vectors of different
-length are not compared; rows without id are dropped; rows that repeat an id are
-vectors of their own and repeat in the result.
+length are not compared; a pair at the threshold is linked, and of equally near
+vectors all are; rows without id are dropped; rows that repeat an id are vectors of
+their own and repeat in the result; an empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -57,6 +61,10 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Bytes of vectors that reach the driver; vectors of the sample for each list.
+SAMPLE_BYTES, PER_LIST = 64 << 20, 16
+
+
 @dataclass
 class Index:
     """Centres and code books; ``at`` cuts a vector into its subspaces."""
@@ -76,11 +84,16 @@ class Index:
 
     def probes(self, unit: np.ndarray, own: np.ndarray, r: float) -> list[np.ndarray]:
         """The lists that can hold a vector within ``r`` of each vector."""
-        gaps = np.sqrt(np.maximum(((self.centres[:, None] - self.centres[None]) ** 2).sum(2), 1e-24))
         out = []
-        for u, c in zip(unit, own):
-            d = ((self.centres - u) ** 2).sum(1)
-            out.append(np.flatnonzero((d - d[c]) / (2 * gaps[c]) <= r + 1e-6))
+        size = (self.centres * self.centres).sum(1)
+        for a in range(0, len(unit), 1024):
+            u, c = unit[a : a + 1024], own[a : a + 1024]
+            homes, home = np.unique(c, return_inverse=True)
+            # Distances between the centres of these vectors and all others, by products.
+            gaps = np.sqrt(np.maximum(size[homes][:, None] + size - 2 * self.centres[homes] @ self.centres.T, 1e-24))
+            d = size - 2 * u @ self.centres.T
+            beyond = (d - np.take_along_axis(d, c[:, None], 1)) / (2 * gaps[home])
+            out += [np.flatnonzero(x) for x in beyond <= r + 1e-6]
         return out
 
     def candidates(self, queries: np.ndarray, centre: int, code: np.ndarray, left_over: np.ndarray, r: float) -> np.ndarray:
@@ -121,7 +134,7 @@ def _units(col: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
-def near_vectors(df: DataFrame, id_col="vec_id", vector_col="embedding", label_col="label", *, cosine: float = 0.93, lists: int | None = None, subspaces: int = 8, codes: int = 256, sample: int = 20_000, block: int = 2048, seed: int = 11) -> DataFrame:
+def near_vectors(df: DataFrame, id_col="vec_id", vector_col="embedding", label_col="label", *, cosine: float = 0.93, lists: int | None = None, subspaces: int = 8, codes: int = 256, sample: int = 40_000, block: int = 2048, seed: int = 11) -> DataFrame:
     """``id, n_links, component`` for each vector, compared within its label."""
     rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"), F.col(f"`{label_col}`").cast("string").alias("label")).where("id IS NOT NULL")
 
@@ -144,6 +157,7 @@ def near_vectors(df: DataFrame, id_col="vec_id", vector_col="embedding", label_c
     if not n:
         return checked.select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component"))
     dims, radius = width // 8, float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+    sample = max(256, min(sample, SAMPLE_BYTES // width))
 
     def matrix(blobs) -> np.ndarray:
         out = np.zeros((len(blobs), dims))
@@ -155,8 +169,8 @@ def near_vectors(df: DataFrame, id_col="vec_id", vector_col="embedding", label_c
     reach = 1 << 31 if n <= 2 * sample else int((1 << 31) * 1.3 * sample / n) + 1
     order = F.pmod(F.xxhash64("key", "label"), F.lit(1 << 31))
     taken = kinds.where(order < reach).orderBy(order, "id").limit(sample).select("unit").toPandas()["unit"]
-    index = fit(matrix(taken), lists or int(np.clip(n // 4000, 1, 1024)), subspaces, codes, seed)
-    shared = df.sparkSession.sparkContext.broadcast(index)  # at most 1024 centres and 256 codes a subspace
+    index = fit(matrix(taken), lists or int(np.clip(n // 4000, 1, max(1, sample // PER_LIST))), subspaces, codes, seed)
+    shared = df.sparkSession.sparkContext.broadcast(index)  # sample / PER_LIST centres at most, and 256 codes a subspace: some MB
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -34,7 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from inkfold.llm.common import keyed, small_batches, trim
+from inkfold.llm.common import keyed, mapped, trim
 
 #: The kinds in the order in which they are listed, with their patterns.
 KINDS = ("assign", "access", "hex")
@@ -389,7 +389,6 @@ def redact(text: str) -> str:
 
 def redacted(df: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns of ``df``, with the secrets cut out of the text; null stays null."""
-    small_batches(df.sparkSession)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,4 +399,4 @@ def redacted(df: DataFrame, text_col: str = "text") -> DataFrame:
             yield pa.record_batch([pa.array(texts, col.type) if i == at else c for i, c in enumerate(b.columns)], schema=b.schema)
         trim()
 
-    return df.mapInArrow(run, df.schema)
+    return mapped(df, run, df.schema)

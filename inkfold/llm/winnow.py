@@ -16,7 +16,9 @@ the words of the documents that have a fingerprint in common with an item.
 
 Defined cases: null or empty text has no words and is never contaminated; an
 item without words has no window; rows without an id are dropped; repeated items
-count once; repeated documents repeat in the result.
+count once, and items with one window are all reported; repeated documents repeat
+in the result; long texts and items are read whole; an empty table of either kind
+gives no hits; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.llm.common import keyed
+from inkfold.llm.common import keyed, written
 
 #: Hashes of the items that are broadcast at most: 16 bytes each.
 BROADCAST_HASHES = 500_000
@@ -119,7 +121,8 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> Dat
     prints = let(F.col("words"), lambda v: F.concat(*(fingerprints(v, size, w) for size, w, _ in kinds)))
     met = words.select("id", F.explode(prints).alias("hash")).join(F.broadcast(wanted) if few else wanted, "hash", "left_semi")
     met = met.groupBy("id").agg(F.collect_set("hash").alias("met"))
-    again = docs.join(met, "id").select("id", words_of(F.col("text")).alias("words"), "met")
+    # Written: each length of items reads these few documents' words again.
+    again = written(docs.join(met, "id").select("id", words_of(F.col("text")).alias("words"), "met"), "winnow-met")
 
     out = None
     for size, _, need in kinds:

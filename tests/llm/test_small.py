@@ -498,6 +498,71 @@ def test_language_accuracy_on_held_out_rows(spark):
     assert {r.lang_pred for r in langid.identify(df, none).collect()} == {"und"}
 
 
+def test_features_weights_and_temperature_against_plain_versions():
+    """n-gram counts, TF-IDF, FTRL-proximal and the temperature, each written out weight by weight."""
+    rnd = random.Random(31)
+    texts = [langid.letters(" ".join("".join(rnd.choice(a) for _ in range(rnd.randrange(1, 7))) for _ in range(9))) for a in ("abcdé", "abxyz") * 12]
+    bits = 18
+    row, col, count = langid.features(texts, bits)
+    for i, t in enumerate(texts):
+        want = Counter(t[k : k + n] for n in (1, 2, 3) for k in range(len(t) - n + 1))
+        assert sorted(count[row == i].tolist()) == sorted(want.values())  # 2**18 bins: no two of these share one
+    where = {}
+    for t in texts:  # an n-gram has one bin in every text
+        r, c, n = langid.features([t], bits)
+        where.setdefault(t, dict(zip(c.tolist(), n.tolist())))
+    df = Counter(c for f in where.values() for c in f)
+    idf = np.ones(1 << bits, np.float32)
+    for c, n in df.items():
+        idf[c] = math.log((1 + len(texts)) / (1 + n)) + 1
+    vectors = []
+    for t in texts:
+        v = {c: (1 + math.log(n)) * float(idf[c]) for c, n in where[t].items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        vectors.append({c: x / size for c, x in v.items()})
+    y = np.array([0, 1] * 12)
+    opts = dict(alpha=2.0, beta=1.0, l1=1e-3, l2=1e-2)
+    rows = [(np.array(sorted(v)), np.array([v[c] for c in sorted(v)], np.float32)) for v in vectors]
+    got, bias = langid.ftrl(rows, y, 2, bits, **opts, epochs=2, batch=4, seed=5)
+
+    z, n = {}, {}
+
+    def weight(c, k):
+        a, b = z.get((c, k), 0.0), n.get((c, k), 0.0)
+        return 0.0 if abs(a) <= opts["l1"] else -(a - math.copysign(opts["l1"], a)) / ((opts["beta"] + math.sqrt(b)) / opts["alpha"] + opts["l2"])
+
+    order = np.random.default_rng(5)
+    for _ in range(2):
+        for part in np.array_split(order.permutation(len(texts)), len(texts) // 4):
+            grads = Counter()
+            for i in part:
+                v = {**vectors[i], 1 << bits: 1.0}
+                s = [sum(x * weight(c, k) for c, x in v.items()) for k in (0, 1)]
+                p = [math.exp(x - max(s)) for x in s]
+                for c, x in v.items():
+                    for k in (0, 1):
+                        grads[c, k] += x * (p[k] / sum(p) - (y[i] == k)) / len(part)
+            was = {key: weight(*key) for key in grads}
+            for key, g in grads.items():
+                before = n.get(key, 0.0)
+                n[key] = before + g * g
+                z[key] = z.get(key, 0.0) + g - (math.sqrt(n[key]) - math.sqrt(before)) / opts["alpha"] * was[key]
+    for (c, k) in z:
+        assert (bias[k] if c == 1 << bits else got[c, k]) == pytest.approx(weight(c, k), abs=1e-5)
+    assert not got[[c for c in range(1 << bits) if (c, 0) not in z][:1000]].any()
+
+    model = langid.Model(["a", "b"], bits, idf, got, bias, 2.0)
+    want = [[sum(x * weight(c, k) for c, x in v.items()) + weight(1 << bits, k) for k in (0, 1)] for v in vectors]
+    assert np.allclose(model.logits(texts), want, atol=1e-4)
+    langs, scores = model.predict([*texts, None, "² ½ Ⅷ", "12 !"])
+    assert scores[0] == pytest.approx(max(1 / (1 + math.exp((want[0][1 - k] - want[0][k]) / 2)) for k in (0, 1)), abs=1e-4) and langs[-3:] == ["und"] * 3
+    logits = np.array([[rnd.gauss(0, 3), rnd.gauss(0, 3)] for _ in range(300)])
+    truth = np.array([int(rnd.random() < 1 / (1 + math.exp((a - b) / 2.5))) for a, b in logits])
+    loss = lambda t: -sum(math.log(1 / (1 + math.exp((a - b) / t * (1 if k else -1)))) for (a, b), k in zip(logits, truth))
+    best = langid.temperature(logits, truth)
+    assert all(loss(best) <= loss(best * f) + 1e-6 for f in (0.8, 0.95, 1.05, 1.25))
+
+
 # --- 9 ---------------------------------------------------------------------------------
 
 
