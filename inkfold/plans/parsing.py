@@ -19,7 +19,7 @@ def pages(spark, d):
 
 
 _CLEAN_SQL = r"(SELECT page_id, regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<nav.*?</nav>|<footer.*?</footer>', '', 'g') AS h FROM pages)"
-_TEXT_SQL = r"trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))"
+_TEXT_SQL = r"trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))"
 #: What the rules of the HTML walk call boilerplate, in SQL.
 _DULL_SQL = r"({t} = '' OR lower({t}) IN ('share', 'copied', 'tags', 'written by', 'subscribe', 'sign up', 'listen') OR starts_with(lower({t}), 'listen') OR regexp_matches(lower({t}), '^\d+\s*minutes?( read)?$') OR regexp_matches(lower({t}), '^[a-z]+\.?\s+\d{{1,2}},?\s+\d{{4}}$') OR (length({t}) < 100 AND NOT regexp_matches({t}, '[.!?]') AND NOT regexp_matches({t}, '^[-‐-―]\s*\S')))"
 #: The walk over these pages, in which paragraphs follow the only h1; an unclosed bold paragraph is bold to its end.
@@ -343,7 +343,7 @@ def h03(spark, d):
     return coding.profile_documents(docs, profile, ["profile", "genre"]).select("doc_id", "profile", "genre")
 
 
-@query("h07_embedding_function", "SELECT doc_id, CAST(768 AS BIGINT) AS dims, round(CASE WHEN length(text) > 0 THEN 1.0 ELSE 0.0 END, 6) AS norm FROM documents")
+@query("h07_embedding_function", "SELECT doc_id, CAST(768 AS BIGINT) AS dims, CASE WHEN length(text) > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS norm FROM documents")
 def h07(spark, d):
     """Texts to unit vectors by an encoder that is given: here hashed letters."""
     v = coding.embed(documents(spark, d).select("doc_id", "text"), coding.letter_encoder, dims=768)
