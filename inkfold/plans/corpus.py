@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkfold.functions import text as X
 from inkfold.operators import echo, lexicon
+from inkfold.operators.aggregates import zero_filled
 from inkfold.plans.registry import query
 from inkfold.sources.relations import BLOCKS_SQL, HEADING_CHARS, MANIFEST_SQL, documents, manifest, table
 
@@ -72,7 +73,7 @@ def i04(spark, d):
 @query("d07_zero_filled_spine", f"SELECT g.genre, count(m.doc_id) AS n FROM (VALUES ('en'), ('de'), ('es'), ('fr'), ('it')) g(genre) LEFT JOIN {MANIFEST_SQL} m USING (genre) GROUP BY g.genre")
 def d07(spark, d):
     spine = spark.createDataFrame([(g,) for g in _SPINE], "genre string")
-    return spine.join(manifest(spark, d).groupBy("genre").agg(F.count("*").alias("n")), "genre", "left").na.fill(0)
+    return zero_filled(spine, manifest(spark, d).groupBy("genre").agg(F.count("*").alias("n")), ["genre"])
 
 
 _TIER_SQL = "CASE WHEN family = 'src1' THEN 'T1' WHEN regexp_matches(lower(text), 'government|public|license|release|copyright|apache') THEN 'T2' ELSE 'T3' END"

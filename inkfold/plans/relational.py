@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from inkfold.functions import text as X
 from inkfold.operators import aggregates as A
-from inkfold.operators import html
-from inkfold.plans.corpus import COUNTS_SQL, counts
+from inkfold.operators import html, lexicon
+from inkfold.plans.corpus import COUNTS_SQL
 from inkfold.plans.parsing import PAGE_BLOCKS_SQL, page_blocks
 from inkfold.plans.registry import query
 from inkfold.sources.relations import BLOCKS_SQL, MANIFEST_SQL, RECORDS_SQL, blocks, documents, manifest, records, table
@@ -30,8 +31,12 @@ def d01(spark, d):
 @query("d02_manifest_term_counts", f"SELECT m.doc_id, m.genre, coalesce(c.n_nominal, 0) AS n_nominal, coalesce(c.n_variant, 0) AS n_variant FROM {MANIFEST_SQL} m LEFT JOIN (SELECT * FROM {COUNTS_SQL} WHERE doc_id IN (SELECT doc_id FROM labels)) c USING (doc_id)")
 def d02(spark, d):
     """The count file covers some documents; the others have zeros."""
-    c = counts(spark, d).join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", "n_nominal", "n_variant")
-    return A.zero_filled(manifest(spark, d).select("doc_id", "genre"), c, ["doc_id"])
+    # Attributes and counts come from one scan; only the file's ids are joined.
+    hits = [X.pattern_counts(F.col("text"), lexicon.LEXICON[c]).alias(f"n_{c}") for c in ("nominal", "variant")]
+    docs = documents(spark, d).select("doc_id", F.col("lang").alias("genre"), *hits)
+    have = table(spark, d, "labels").select("doc_id", F.lit(True).alias("counted"))
+    zero = lambda c: F.when(F.col("counted"), F.col(c)).otherwise(0).alias(c)
+    return docs.join(have, "doc_id", "left").select("doc_id", "genre", zero("n_nominal"), zero("n_variant"))
 
 
 @query("d03_lexicon_theta_join", "SELECT doc_id, p AS pattern, len(regexp_extract_all(text, '(?i)' || p)) AS n FROM documents, (VALUES ('licensed'), ('copyright'), ('public')) t(p) WHERE regexp_matches(text, '(?i)' || p)")
