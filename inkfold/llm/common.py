@@ -114,16 +114,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of plans that are done with."""
+    """Let Spark's cleaner remove the shuffle files of plans that are done with.
+
+    Spark holds on to the last query it ran: a trivial one takes its place first.
+    """
+    spark.range(1).count()
     gc.collect()
     spark._jvm.System.gc()
 
 
-def trim() -> None:
-    """Give freed memory of a Python worker back to the system: workers are kept and used again."""
+def trim(cycles: bool = True) -> None:
+    """Give freed memory of a Python worker back to the system: workers are kept and used again.
+
+    Without ``cycles`` only what is free already; that is quick enough for every group.
+    """
     import ctypes
 
-    gc.collect()
+    if cycles:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

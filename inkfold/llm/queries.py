@@ -30,7 +30,7 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     crc = F.crc32(F.col("doc_id").cast("string"))
     # One training document in seven tunes the weights.
-    out = lm.score(table(spark, sf_dir, "documents"), "doc_id", "text", crc % 7 != 2, F.floor(crc / 7) % 7 == 0)
+    out = lm.score(table(spark, sf_dir, "documents"), "doc_id", "text", crc % 7 != 2, F.floor(crc / 7) % 7 == 0, order=3)
     held = (F.crc32(F.col("id").cast("string")) % 7 == 2).alias("held_out")
     return out.select(F.col("id").alias("doc_id"), held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
