@@ -215,13 +215,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     main = placed.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     open_ = written(placed.join(main, "bucket").select("main", "rep", "component").distinct(), "minhash-open")
     drop(members)
-    more = written(_across(open_, sets, shingle_family=(bands, rows, seed), num=num, den=den), "minhash-links")
+    across, used = _across(open_, sets, shingle_family=(bands, rows, seed), num=num, den=den)
+    more = written(across, "minhash-links")
     release(spark)
     # What they join are whole components.
     joined = components(more, "minhash-joined").select(F.col("id").alias("component"), F.col("component").alias("whole"))
     label = label.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
     label = label.unionByName(joined.join(label.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("whole").alias("component")))
-    drop(sets, open_, edges)
+    drop(sets, open_, edges, *used)
 
     # Numbers become ids: a component is named by the smallest id of all its sets.
     named = written(label.select(F.col("id").alias("rep"), "component").join(reps.select("rep", "digest", "id"), "rep"), "minhash-named")
@@ -237,8 +238,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 BLOCK, BLOCK_SETS = 1000, 32 << 20
 
 
-def _across(open_: DataFrame, sets: DataFrame, shingle_family: tuple[int, int, int], num: int, den: int) -> DataFrame:
-    """Links ``u, v`` between components: those that hold, not one pair more than joins them.
+def _across(open_: DataFrame, sets: DataFrame, shingle_family: tuple[int, int, int], num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links ``u, v`` between components, not one pair more than joins them; and the tables that they are read from.
 
     ``open_`` has ``main, rep, component``: the sets that share a bucket with
     component ``main``, its own and others.  Every other set meets every set of the
@@ -254,7 +255,8 @@ def _across(open_: DataFrame, sets: DataFrame, shingle_family: tuple[int, int, i
     blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_SETS)).cast("int")
     sized = full.select("main", outside.alias("outside"), F.length("items").cast("bigint").alias("bytes"))
     size = sized.groupBy("main").agg(blocks(F.count("*"), F.sum("bytes")).alias("parts"), blocks(F.count_if("outside"), F.coalesce(F.sum(F.when(F.col("outside"), F.col("bytes"))), F.lit(0))).alias("turns"))
-    full = full.join(written(size, "minhash-sizes"), "main")
+    used = [full, written(size, "minhash-sizes")]
+    full = full.join(used[1], "main")
     part = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
     held = full.select("main", part("parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "rep", "component", "items", F.lit(False).alias("outside"))
     asked = full.where(outside).select("main", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), part("turns").alias("turn"), "rep", "component", "items", F.lit(True).alias("outside"))
@@ -282,7 +284,7 @@ def _across(open_: DataFrame, sets: DataFrame, shingle_family: tuple[int, int, i
         u, v = zip(*found) if found else ([], [])
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return held.unionByName(asked).groupBy("main", "part", "turn").applyInArrow(compare, "u bigint, v bigint")
+    return held.unionByName(asked).groupBy("main", "part", "turn").applyInArrow(compare, "u bigint, v bigint"), used
 
 
 def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
