@@ -28,7 +28,7 @@ import lzma
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -93,6 +93,17 @@ def _opener(head: bytes):
     return None
 
 
+def _sound(head: bytes) -> bool:
+    """Whether these bytes begin compressed data, and do not only look like it: the text "x " does."""
+    d = _opener(head)
+    if d is None:
+        return False
+    try:
+        return bool(d.decompress(head, 64)) or d.eof or len(head) >= _STEP
+    except _ERRORS:
+        return False
+
+
 def _pull(d, data: bytes) -> Iterator[bytes]:
     """All that ``d`` gives for ``data``, in steps."""
     while True:
@@ -194,7 +205,7 @@ def _texts(chunks: Iterator[bytes]) -> Iterator[str]:
             head += c
         key = hashlib.sha1(head).digest()
         chunks = itertools.chain([head] if head else [], chunks)
-        if key in heads or _opener(head) is None:
+        if key in heads or not _sound(head):
             break
         heads.add(key)
         chunks = _inflate(chunks)
@@ -203,15 +214,37 @@ def _texts(chunks: Iterator[bytes]) -> Iterator[str]:
             yield from _readings(window)
 
 
-def unbase64(run: str) -> Iterator[str]:
-    """The texts in a base64 run, through any compressed layers."""
+def _bytes_of(run: str) -> bytes:
+    """The bytes of base64 digits, without a last digit that is none of a byte."""
     run = run.translate(_URLSAFE)
     run = run[: len(run) - 1] if len(run) % 4 == 1 else run
     try:
-        data = base64.b64decode(run + "=" * (-len(run) % 4))
+        return base64.b64decode(run + "=" * (-len(run) % 4))
     except (binascii.Error, ValueError):
-        return iter(())
-    return _texts(iter([data]))
+        return b""
+
+
+def _placed(data: bytes) -> Iterator[tuple[str, array]]:
+    """The texts that the bytes can be, and where the bytes of each character end."""
+    for text in _readings(data):
+        if len(text) == len(data):
+            yield text, array("q", range(1, len(data) + 1))
+    try:
+        if len(text := data.decode("utf-8")) < len(data):
+            yield text, array("q", itertools.accumulate(1 + (c > "\x7f") + (c > "\u07ff") + (c > "\uffff") for c in text))
+    except UnicodeDecodeError:
+        pass
+    for wide, name, width in ((_WIDE, "utf-16", 2), (_WIDER, "utf-32", 4)):
+        if wide.search(data):
+            for skip in range(2 if width == 2 else 1):
+                for order in ("-le", "-be"):
+                    part = data[skip : skip + (len(data) - skip) // width * width]
+                    ends, out, at = array("q"), [], skip
+                    # Units one by one: what is no character stands as one.
+                    for k in range(0, len(part), width):
+                        out.append(part[k : k + width].decode(name + order, "replace")[:1] or "\ufffd")
+                        ends.append(at := at + width)
+                    yield "".join(out), ends
 
 
 def _escaped_bytes(text: str, start: int, mode: str, ends: array, plus: bool) -> Iterator[bytes]:
@@ -306,23 +339,46 @@ def unescaped(layer: Layer) -> Layer | None:
     return Layer("".join(out), at, to)
 
 
+def _decoded(layer: Layer, run: str, place: Sequence[int], span: tuple[int, int]) -> Iterator[Layer]:
+    """The layers in a run of base64 digits, whose places in the layer are given.
+
+    Digits may stand before the data that are none of them (a path, a word), so the
+    run is read from each of its first four digits.  A byte comes from the two
+    digits that hold its bits; compressed data come from the whole run.
+    """
+    for skip in range(4):
+        if len(run) - skip < 16:
+            return
+        data = _bytes_of(run[skip:])
+        if _sound(data[:_STEP]):
+            for inner in _texts(iter([data])):
+                yield Layer(inner, *layer.origin(*span))
+        for inner, ends in _placed(data):
+            at, to, last = array("q"), array("q"), 0
+            for end in ends:
+                first, final = skip + last // 3 * 4 + last % 3, skip + (end - 1) // 3 * 4 + (end - 1) % 3 + 1
+                x, y = layer.origin(place[first], place[min(final, len(run) - 1)] + 1)
+                at.append(x)
+                to.append(y)
+                last = end
+            yield Layer(inner, at, to)
+
+
 def children(layer: Layer) -> Iterator[Layer]:
     """The layers inside a layer, one at a time."""
     text = layer.text
     if ("%" in text or "\\" in text) and (child := unescaped(layer)):
         yield child
     for m in _BASE64.finditer(text):
-        run, start = m[1], m.start()
-        for inner in unbase64(run):
-            yield Layer(inner, *layer.origin(*m.span()))
-        if start and text[start - 1] == "\\" and run[0] in "nrt":
-            for inner in unbase64(run[1:]):
-                yield Layer(inner, *layer.origin(start + 1, m.end()))
+        yield from _decoded(layer, m[1], range(m.start(1), m.end(1)), m.span())
     for m in _WRAPPED.finditer(text):
+        gaps = [g.span() for g in _BREAKS.finditer(m[0])]
         run = _BREAKS.sub("", m[0]).rstrip("=")
         if len(run) >= 16:
-            for inner in unbase64(run):
-                yield Layer(inner, *layer.origin(*m.span()))
+            place = array("q")
+            for x, y in zip([0, *(g[1] for g in gaps)], [*(g[0] for g in gaps), len(m[0])]):
+                place.extend(range(m.start() + x, m.start() + y))
+            yield from _decoded(layer, run, place, m.span())
     for start, end, texts in compressed(text):
         for inner in texts:
             yield Layer(inner, *layer.origin(start, end))

@@ -320,6 +320,7 @@ def test_pieces_encode_like_whole_texts(monkeypatch):
     path = tokenizer_file("byte_bpe_50k.json")
     rnd = random.Random(8)
     texts = ODD_TEXTS + ["".join(rnd.choice("ab c\n.,'é1\t") for _ in range(40)) for _ in range(300)]
+    texts += [" ".join(rnd.choice(["one.", "one,", "one", "é.", "don't.", "x..", "3.", ".", ",", "e\u0301.", "a.b,", "ß,", "日.", "\nq.", "×."]) for _ in range(30)) for _ in range(60)]
     want = [e.ids for e in own_tokenizer(path).encode_batch(texts, add_special_tokens=False)]
     for _ in range(2):  # the second time, its pieces are known
         ids, n = repair.encode_texts(path, pa.array(texts, pa.string()))
@@ -395,6 +396,45 @@ def test_layers_map_to_the_original_span(layer):
     assert "abcDEF1234" not in secrets.redact(text) and secrets.redact(text).startswith("é before ")
 
 
+ENCODERS = {
+    "url": lambda s: "".join(f"%{c:02X}" for c in s.encode()),
+    "u": lambda s: "".join(f"\\u{u:04x}" for u in np.frombuffer(s.encode("utf-16-le"), "<u2").tolist()),
+    "x": lambda s: "".join(f"\\x{c:02x}" for c in s.encode()),
+    "b64": lambda s: b64(s),
+    "b64url": lambda s: base64.urlsafe_b64encode(s.encode()).decode().rstrip("="),
+    "b64wide": lambda s: b64(s.encode("utf-16-le")),
+    "gz": lambda s: b64(gzip.compress(s.encode())),
+    "zlib": lambda s: b64(zlib.compress(s.encode())),
+}
+
+
+def test_random_nestings_behind_any_word():
+    """What is planted is found where it is planted, through up to four layers and behind letters that could be digits."""
+    rnd = random.Random(41)
+    finds = [('password: "hunter%d22"', 0), ("AKIA%016d", 1), ("0123456789abcdef%08x", 2)]
+    for k in range(150):
+        form, kind = rnd.choice(finds)
+        inner = f"a word {form % rnd.randrange(10**6)} and more"
+        for name in (names := rnd.choices(list(ENCODERS), k=rnd.randrange(1, 5))):
+            inner = ENCODERS[name](f"{'x' * rnd.randrange(4)} {inner}" if rnd.random() < 0.5 else inner)
+        lead = rnd.choice(["", "see ", "path/", "k-", "id_", "data:", "Word"]) if names[-1][0] in "bgz" else rnd.choice(["", "see "])
+        text = f"é clean {lead}{inner} clean é"
+        begin, end = text.index(inner), text.index(inner) + len(inner)
+        got = [(a, b) for a, kd, b, base in secrets.scan_text(text) if kd == kind and not base]
+        assert got and all(begin - len(lead) <= a < b <= end for a, b in got), (names, lead, text, got)
+
+
+def test_two_secrets_in_one_run_are_two_spans():
+    plain = "password=first1 " + "-" * 30 + " token=second2 end"
+    for lead in ("", "abc/"):
+        text = f"{lead}{b64(plain)}"
+        got = [(a, b) for a, k, b, base in secrets.scan_text(text) if k == 0 and not base]
+        want = [(plain.index(x), plain.index(x) + len(x)) for x in ("password=first1", "token=second2")]
+        assert got == [(len(lead) + a // 3 * 4 + a % 3, len(lead) + (b - 1) // 3 * 4 + (b - 1) % 3 + 2) for a, b in want]
+    wrapped = "\n".join(re.findall(".{1,20}", b64(plain)))
+    assert len([1 for _, k, _, base in secrets.scan_text(wrapped) if k == 0 and not base]) == 2
+
+
 def test_base_spans():
     text = "Password: hunter22 token=abc secret='QWERTY-1' AKIA" + "A" * 16 + " AKIA" + "B" * 15 + " " + "0f" * 12 + " " + "0f" * 11 + "g"
     want = []
