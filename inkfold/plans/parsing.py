@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkfold.functions import text as X
 from inkfold.operators import coding, html
 from inkfold.plans.registry import query
-from inkfold.sources import files
+from inkfold.sources import files, remote, workbook
 from inkfold.sources.relations import BLOCKS_SQL, MANIFEST_SQL, RECORDS_SQL, blocks, documents, manifest, records, table
 from inkfold.sources.shared import shared_path
 from inkfold.streaming import intake
@@ -233,6 +233,30 @@ def a04(spark, d):
     return documents(spark, d).select("doc_id", files.count_or_zero(raw).alias("n"))
 
 
+@query("a05_spreadsheet", "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) + 1 AS INTEGER) AS row, CAST(n_nationkey AS VARCHAR) AS key, n_name AS name FROM nation")
+def a05(spark, d):
+    """A sheet's rows as text, numbered from 2 as the first one is the header."""
+    path = f"{shared_path(spark, 'workbook')}.xlsx"
+    rows = table(spark, d, "nation").orderBy("n_nationkey").select(F.col("n_nationkey").cast("string"), "n_name").collect()  # 25 nations
+    workbook.put(spark, path, workbook.workbook([["key", "name"], *map(list, rows)]))
+    return workbook.read_workbooks(spark, path).select("row", F.get("cells", F.lit(0)).alias("key"), F.get("cells", F.lit(1)).alias("name"))
+
+
+def _stub(url: str) -> tuple[int, str]:
+    """A service of the pages' addresses: one host is gone, and unsafe ones need a second call."""
+    if "spam-farm" in url:
+        raise ConnectionError("no such host")
+    calls = _stub.__dict__.setdefault("calls", {})
+    calls[url] = calls.get(url, 0) + 1
+    return (503, "") if url.startswith("http://") and calls[url] % 2 else (404, "") if url.endswith(".html") else (200, f"page of {url}")
+
+
+@query("a12_fetch_with_retry", "SELECT DISTINCT url, CAST(CASE WHEN contains(url, 'spam-farm') THEN NULL WHEN ends_with(url, '.html') THEN 404 ELSE 200 END AS INTEGER) AS status, CAST(CASE WHEN contains(url, 'spam-farm') THEN 3 WHEN starts_with(url, 'http://') THEN 2 ELSE 1 END AS INTEGER) AS attempts, CASE WHEN contains(url, 'spam-farm') THEN 'no such host' WHEN ends_with(url, '.html') THEN 'status 404' END AS error FROM pages")
+def a12(spark, d):
+    """Addresses that fail are asked again; what stays wrong is a row."""
+    return remote.fetch_pages(pages(spark, d).select("url").distinct(), _stub).select("url", "status", "attempts", "error")
+
+
 @query("a06_json_documents", "SELECT conv_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id")
 def a06(spark, d):
     """Nested documents written as JSON, read with their schema, exploded."""

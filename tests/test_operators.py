@@ -1,14 +1,16 @@
 """Semantic edges of the operators, on invented fixtures."""
 
+import io
 import itertools
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from inkfold.functions import text as X
 from inkfold.operators import aggregates, coding, echo, graph, html, lexicon, sampling, vectors
-from inkfold.sources import files
+from inkfold.sources import files, remote, workbook
 
 
 def rows(df):
@@ -342,3 +344,39 @@ def test_tolerant_answers():
 def test_non_ascii_words_stay_in_grams(spark):
     df = spark.createDataFrame([("Été, l'école… ß!",)], "t string")
     assert df.select(X.ngram_text(F.col("t"))).collect()[0][0] == "été l'école ß"
+
+
+def test_workbooks(spark, tmp_path):
+    data = workbook.workbook([["a", "b", "c"], ["1", None, "x & <y>"], [], ["  ", "é"]])
+    assert list(workbook.sheet_rows(data)) == [(2, ["1", None, "x & <y>"]), (3, []), (4, ["  ", "é"])]
+    path = f"file://{tmp_path}/books"
+    workbook.put(spark, f"{path}/one.xlsx", data)
+    workbook.put(spark, f"{path}/two.xlsx", workbook.workbook([["h"]]))
+    got = workbook.read_workbooks(spark, path).orderBy("row").collect()
+    assert [(r.row, r.cells) for r in got] == list(workbook.sheet_rows(data)) and got[0].path.endswith("one.xlsx")
+    out = io.BytesIO()
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>one</t></si><si><r><t>t</t></r><r><t>wo</t></r></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData><row r="1"/><row r="5"><c r="AB5" t="s"><v>1</v></c><c r="AC5"><v>2.5</v></c><c r="AD5"/></row></sheetData></worksheet>')
+    assert list(workbook.sheet_rows(out.getvalue())) == [(5, [None] * 27 + ["two", "2.5", None])]
+
+
+def test_fetching_and_watching(spark):
+    calls, pauses = [], []
+
+    def service(url):
+        calls.append(url)
+        if url == "down":
+            raise OSError("refused")
+        return (429 if len(calls) < 2 else 200, "text")
+
+    assert remote.fetched(service, "a") == ("a", 200, "text", 2, None)
+    assert remote.fetched(service, "down") == ("down", None, None, 3, "refused")
+    assert remote.fetched(lambda u: (404, "gone"), "x") == ("x", 404, None, 1, "status 404")
+    assert remote.fetched(lambda u: (500, ""), "x") == ("x", 500, None, 3, "status 500")
+    urls = spark.createDataFrame([("u",), (None,)], "url string")
+    assert rows(remote.fetch_pages(urls, lambda u: (200, u * 2))) == [("u", 200, "uu", 1, None)]
+    answers = iter([False, False, True])
+    assert remote.watch(lambda: next(answers), pause=5, sleep=pauses.append) == 3 and pauses == [5, 5]
+    assert remote.watch(lambda: False, attempts=2, sleep=pauses.append) == -2
