@@ -55,13 +55,15 @@ from inkfold.llm.common import keyed, trim, written
 
 SHARD_IDS = 2_000_000
 #: Texts tokenized at a time: about so many bytes.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 12_000_000
 #: Occurrences from which a rule saves more than it costs.
 LEAST = 8
 #: Pairs down to this part of the highest frequency are replaced in one round.
 NEAR = 32
 #: Whitespace next to whitespace or to an end of the text: such a text is encoded as a whole.
 _ODD = r"(?s)^[\s\x0b\x1c-\x1f\x{85}\p{Z}]|[\s\x0b\x1c-\x1f\x{85}\p{Z}]$|[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}"
+#: A stop that the pre-tokenizer parts from the letter before it: such pieces share the word's ids.
+_STOPPED = r"[A-Za-zÀ-ÖØ-öø-ɏ][.,]$"
 #: Stands before the first piece of a text, a private character; a text that holds it is encoded as a whole.
 _FIRST = "\ue000"
 
@@ -103,7 +105,7 @@ def _chars(texts: pa.Array) -> tuple[np.ndarray, memoryview]:
 class Pieces:
     """Ids of the pieces met so far by this worker, end to end; about ``most`` of them stay."""
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         self.path, self.most = path, most
         self._empty()
 
@@ -173,19 +175,31 @@ def encode_texts(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     first = pc.starts_with(words, _FIRST).to_numpy(zero_copy_only=False).astype(bool)
     bare = pc.or_(pa.array(first), pc.starts_with(words, "\n"))
     inner = np.flatnonzero(~first & (pc.binary_length(words).to_numpy() > 0))
-    spaced = pc.if_else(bare, words, pc.binary_join_element_wise(" ", words, ""))
+    spaced = pc.if_else(bare, words, pc.binary_join_element_wise(" ", words, "")).take(pa.array(inner))
+    ended = pc.match_substring_regex(spaced, _STOPPED)
+    stems = pc.if_else(ended, pc.utf8_slice_codeunits(spaced, 0, -1), spaced).dictionary_encode()
     known = _pieces(path)
     number = np.zeros(len(words), np.int64)
-    number[inner] = known.add(spaced.take(pa.array(inner)))
+    number[inner] = known.add(stems.dictionary)[stems.indices.to_numpy()]
+    stop = np.zeros(len(words), np.int64)  # 1 and 2: the piece ends with one of the stops
+    stop[inner] = pc.if_else(ended, pc.if_else(pc.ends_with(spaced, "."), 1, 2), 0).to_numpy(zero_copy_only=False)
     begins, alone = np.flatnonzero(first), np.flatnonzero(odd.to_numpy(zero_copy_only=False))
-    more, n = _encoded(path, [w[1:] for w in words.take(pa.array(begins)).to_pylist()] + texts.take(pa.array(alone)).to_pylist())
-    number[begins] = len(known.size) + np.arange(len(begins))
+    more, n = _encoded(path, [".", ",", *(w[1:] for w in words.take(pa.array(begins)).to_pylist()), *texts.take(pa.array(alone)).to_pylist()])
+    base = len(known.size)
+    number[begins] = base + 2 + np.arange(len(begins))
     keep = np.repeat(~whole.to_numpy(zero_copy_only=False).astype(bool), sizes)
     sizes[whole.to_numpy(zero_copy_only=False).astype(bool)] = 0
-    at = number[codes[keep] if len(codes) else codes]
-    del rows, coded, codes, keep, spaced, words
+    codes = codes[keep] if len(codes) else codes
+    # A stop is a piece of its own behind its word.
+    tail = stop[codes]
+    ends = np.cumsum(1 + (tail > 0))
+    at = np.repeat(number[codes], 1 + (tail > 0))
+    at[ends[tail > 0] - 1] = base - 1 + tail[tail > 0]
+    edge = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))]
+    sizes = np.diff(edge)
+    del rows, coded, codes, keep, spaced, stems, ended, words, tail, ends
     if len(alone):
-        at = np.insert(at, (np.cumsum(sizes) - sizes)[alone], len(known.size) + len(begins) + np.arange(len(alone)))
+        at = np.insert(at, edge[alone], base + 2 + len(begins) + np.arange(len(alone)))
         sizes[alone] = 1
     ids, n = spread(np.concatenate([known.flat, more]), np.concatenate([known.size, n]), at)
     edge = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(sizes)))]
@@ -201,11 +215,11 @@ def _cell(key: np.ndarray) -> np.ndarray:
         return (key * key.dtype.type(0x9E3779B1)) >> key.dtype.type(key.itemsize * 8 - _CELLS)
 
 
-def _among(pairs: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Where a key is one of the pairs, and perhaps in a few more places."""
+def _among(pairs: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Which keys, given by their cells, are one of the pairs, and perhaps a few more."""
     some = np.zeros(1 << _CELLS, bool)
     some[_cell(pairs)] = True
-    return some[_cell(key)]
+    return some[cells]
 
 
 def _counted(key: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +238,8 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray
     count, top, made, length = len(ids), base, [], np.ones(base, np.int64)
     # Positions are linked: what was replaced stays in place, without neighbours.
     s = np.append(ids, 0).astype(kind)
-    after, before = np.arange(1, count + 2), np.arange(-1, count)
+    place = np.int32 if count < (1 << 31) - 2 else np.int64
+    after, before = np.arange(1, count + 2, dtype=place), np.arange(-1, count, dtype=place)
     look = np.ones(count + 1, bool)  # positions whose pair may be frequent; the last one is none
     look[max(count - 1, 0) :] = False
 
@@ -239,11 +254,12 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray
             break
         # Down to a part of the highest frequency, pairs are replaced until none is left.
         level = max(least, int(n.max()) // NEAR)
-        look[live[~_among(pair, key)]] = False
+        cells = _cell(key)
+        look[live[~_among(pair, cells)]] = False
         pair, n = pair[n >= level], n[n >= level]
         while len(pair) and top < most:
-            some = _among(pair, key)
-            live, key = live[some], key[some]
+            some = _among(pair, cells)
+            live, key, cells = live[some], key[some], cells[some]
             # Of chosen pairs in one cell of the table, the first stays; the others wait for the next round.
             chosen = _apart(pair, n, shift, top)[: most - top]
             slot = np.full(1 << _CELLS, -1, np.int32)
@@ -251,7 +267,7 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray
             chosen = chosen[slot[_cell(pair[chosen])] == np.arange(len(chosen))]
             table = pair[chosen]
             slot[_cell(table)] = np.arange(len(table), dtype=np.int32)
-            found = slot[_cell(key)]
+            found = slot[cells]
             hit = np.flatnonzero(found >= 0)
             hit = hit[table[found[hit]] == key[hit]]
             hit, found = live[hit], found[hit]
@@ -280,6 +296,7 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray
             made.append(np.stack([a, b], 1))
             top += len(table)
             key = keys(live)
+            cells = _cell(key)
             pair, n = _counted(key, level)
     rules = np.concatenate(made) if made else np.zeros((0, 2), np.int64)
     return s[:-1][after[:-1] >= 0], rules, length[base:]
