@@ -97,7 +97,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")
-    back = spm.decode(spm.encode(docs, path), path)
+    back = spm.round_trip(docs, path)
     return back.select(F.col("id").alias("doc_id"), "n_ids", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"), F.length("text").cast("bigint").alias("decoded_chars"))
 
 

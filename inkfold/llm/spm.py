@@ -350,25 +350,27 @@ def decode_ids(m: Model, ids) -> str:
 ENCODED = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
+    """Ids and texts, about ``BLOCK_CHARS`` characters at a time."""
+    ids, texts, size = [], [], 0
+    for b in batches:
+        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            ids.append(i)
+            texts.append(t)
+            size += len(t)
+            if size >= BLOCK_CHARS:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-
-        def block(ids, texts):
+        for ids, texts in _blocks(batches):
             values, ends = encode_texts(m, texts)
-            return pa.record_batch([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], schema=ENCODED)
-
-        ids, texts, size = [], [], 0
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids.append(i)
-                texts.append(t)
-                size += len(t)
-                if size >= BLOCK_CHARS:
-                    yield block(ids, texts)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield block(ids, texts)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], schema=ENCODED)
         trim()
 
     return run
@@ -379,21 +381,44 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     return keyed(df, id_col, text_col).mapInArrow(_encode(model_path), "id bigint, ids array<int>")
 
 
+DECODED = "id bigint, text string, n_ids bigint, ids_crc32 bigint"
+
+
+def _decoded(m: Model, ids: pa.Array, flat: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``DECODED`` from ids that stand end to end, row k from ``at[k]`` to ``at[k + 1]``."""
+    parts = list(zip(at[:-1].tolist(), at[1:].tolist()))
+    texts = [decode_ids(m, flat[x:y].tolist()) for x, y in parts]
+    raw = memoryview(np.ascontiguousarray(flat, "<u4")).cast("B")
+    crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in parts]
+    return pa.record_batch([ids, pa.array(texts, pa.string()), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], ["id", "text", "n_ids", "ids_crc32"])
+
+
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for b in batches:
             col = b.column(1)
-            flat, at = col.values.to_numpy(), col.offsets.to_numpy()
-            texts = [decode_ids(m, flat[x:y].tolist()) for x, y in zip(at[:-1], at[1:])]
-            crc = [zlib.crc32(flat[x:y].astype("<u4").tobytes()) for x, y in zip(at[:-1], at[1:])]
-            yield pa.record_batch([b.column(0), pa.array(texts, pa.string()), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], ["id", "text", "n_ids", "ids_crc32"])
+            yield _decoded(m, b.column(0), col.values.to_numpy(), col.offsets.to_numpy())
         trim()
 
     return run
 
 
+def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``DECODED`` of each row: what :func:`decode` gives for :func:`encode`, in one worker, so that ids do not travel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(model_path)
+        for ids, texts in _blocks(batches):
+            values, ends = encode_texts(m, texts)
+            texts.clear()
+            yield _decoded(m, pa.array(ids, pa.int64()), values, ends)
+        trim()
+
+    return keyed(df, id_col, text_col).mapInArrow(run, DECODED)
+
+
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """``id, text, n_ids, ids_crc32`` (crc32 of the ids as little-endian unsigned 32-bit integers)."""
     rows = encoded.select("id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    return rows.mapInArrow(_decode(model_path), "id bigint, text string, n_ids bigint, ids_crc32 bigint")
+    return rows.mapInArrow(_decode(model_path), DECODED)

@@ -648,6 +648,7 @@ def test_pieces_equal_the_library(spark):
     assert {r.id: r.ids for r in encoded.collect()} == dict(enumerate(want))
     back = {r.id: r.text for r in spm.decode(encoded, path).collect()}
     assert back == {i: t.replace("▁", " ") for i, t in enumerate(texts)}
+    assert sorted(spm.round_trip(docs_of(spark, texts), path).collect()) == sorted(spm.decode(encoded, path).collect())
 
 
 def test_forward_scores_are_shared_and_best():
