@@ -137,6 +137,18 @@ WITH RECURSIVE d AS (
 )
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, min(c.m)) AS component_id, d.doc_id = least(d.doc_id, min(c.m)) AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.u = d.doc_id GROUP BY d.doc_id, n.n""",
+    # Bytes as pairs of hexadecimal digits.
+    "op3_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents WHERE doc_id IS NOT NULL
+), w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM d, unnest(range(0, length(h) // 2 - 49)) AS t(p)
+), f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id)
+), x AS (SELECT DISTINCT doc_id, p FROM w JOIN f USING (s) WHERE least < doc_id
+), g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS head FROM x
+), i AS (SELECT doc_id, p, sum(head) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g
+), r AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY doc_id, k
+), v AS (SELECT doc_id, k, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY k), 0) AS z FROM r
+), e AS (SELECT doc_id, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY k) || substr(any_value(h), 2 * max(b) + 1) AS kept, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM v JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN e USING (doc_id)""",
     "op6_embedding_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL
