@@ -398,7 +398,6 @@ def write(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             held.clear()
             flat, n = encode_texts(tokenizer_path, texts)
             del texts
-            trim()
             flat, n = np.insert(flat, np.cumsum(n), end_id), n + 1
             ends = np.cumsum(n)
             # A shard ends with the document that reaches its size.
@@ -418,10 +417,10 @@ def write(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             if size >= BLOCK_BYTES:
                 yield from shards(held)
                 size = 0
-                trim()
+                trim(cycles=False)
         if held:
             yield from shards(held)
-        trim()
+        trim(cycles=False)
 
     ordered = keyed(df, id_col, text_col).repartitionByRange("id").sortWithinPartitions("id", "text")
     return written(ordered.mapInArrow(run, SHARDS), "repair-shards")
@@ -440,7 +439,7 @@ def read(shards: DataFrame) -> DataFrame:
                     crc += [zlib.crc32(raw[x:y]) for x, y in zip((4 * (edge[:-1] - edge[0])).tolist(), (4 * (edge[1:] - edge[0])).tolist())]
                 n = len(s.docs)
                 yield pa.record_batch([pa.array([part] * n, pa.int32()), pa.array([number] * n, pa.int32()), pa.array(s.docs), pa.array(s.starts[:-1]), pa.array(np.diff(s.starts)), pa.array(crc, pa.int64())], ["part", "shard", "id", "at", "n_ids", "ids_crc32"])
-        trim()
+        trim(cycles=False)
 
     rows = shards.select("part", "shard", "data").mapInArrow(run, "part int, shard int, id bigint, at bigint, n_ids bigint, ids_crc32 bigint")
     # Ids before each shard: a running sum over partitions (one row each), then within each.
