@@ -187,4 +187,4 @@ def l16(spark, d):
 
 @query("d12_thematic_edges", f"SELECT source, target, weight FROM {PROJECTION_SQL} WHERE weight >= 4")
 def d12(spark, d):
-    return projection(spark, d).where("weight >= 4")
+    return projection(spark, d, least=4)
